@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup
+from . import license_scan, mixing, neardup, packing, secret_scan
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +22,32 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.scan(documents(spark, sf_dir))
+    kinds = F.transform("base", lambda s: s["kind"])
+    count = {f"n_{k}": (F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long") for k in ("assign", "access", "hex")}
+    listed = secret_scan.listed
+    return out.select("doc_id", *[c.alias(k) for k, c in count.items()], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def tokenizer():
+    """The public byte-level BPE of 50k ids, from where its package keeps it on each machine."""
+    import public_tokenizers
+
+    return packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(documents(spark, sf_dir))
+    return out.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels")})
+
+
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash}
+    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op6_secrets": op6_secrets, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
