@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, neardup, packing, secret_scan
+from . import license_scan, mixing, neardup, packing, secret_scan, sketch
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sketch.fingerprints(documents(spark, sf_dir))
+    digest = sketch.digest
+    return out.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("sketch")).alias("fingerprint"), digest(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secret_scan.scan(documents(spark, sf_dir))
     kinds = F.transform("base", lambda s: s["kind"])
@@ -47,7 +55,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op6_secrets": op6_secrets, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op5_fingerprints": op5_fingerprints, "op6_secrets": op6_secrets, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
