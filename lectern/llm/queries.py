@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, neardup, packing, secret_scan, sketch
+from . import license_scan, mixing, neardup, packing, quality, secret_scan, sketch, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sketch.fingerprints(documents(spark, sf_dir))
     digest = sketch.digest
@@ -38,6 +46,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[c.alias(k) for k, c in count.items()], F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def tokenizer():
     """The public byte-level BPE of 50k ids, from where its package keeps it on each machine."""
     import public_tokenizers
@@ -55,7 +67,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op5_fingerprints": op5_fingerprints, "op6_secrets": op6_secrets, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_fingerprints": op5_fingerprints, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
