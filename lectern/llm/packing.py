@@ -60,6 +60,13 @@ def byte_bpe(json_path: str, ranks_path: str | None = None) -> Callable[[str], n
     return encode
 
 
+def public_byte_bpe() -> Callable[[str], np.ndarray]:
+    """The public byte-level BPE of 50k ids, from where its package keeps it on each machine."""
+    import public_tokenizers
+
+    return byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 class Packer:
     """Open windows of one partition. ``out`` gets (doc_id, start, ids, doc_tokens, sequence_id, offset) of closed windows."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, neardup, packing, quality, secret_scan, sketch, toxicity
+import corpus_pipeline
+
+from . import license_scan, line_dedup, mixing, neardup, packing, quality, secret_scan, sketch, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,15 +52,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
-def tokenizer():
-    """The public byte-level BPE of 50k ids, from where its package keeps it on each machine."""
-    import public_tokenizers
-
-    return packing.byte_bpe(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return out.select(
+        "doc_id", F.size("deleted_lines").cast("long").alias("n_deleted"), F.concat_ws(",", F.col("deleted_lines").cast("array<string>")).alias("deleted_lines"), F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256")
+    )
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), tokenizer)
+    return packing.pack(documents(spark, sf_dir), packing.public_byte_bpe)
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +69,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_mix": op1_mix, "op2_simhash": op2_simhash, "op3_toxicity": op3_toxicity, "op5_fingerprints": op5_fingerprints, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op9_packing": op9_packing, "op10_licenses": op10_licenses}
+    own = (op1_mix, op2_simhash, op3_toxicity, op5_fingerprints, op6_secrets, op7_quality, op8_lines, op9_packing, op10_licenses)
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The pipeline's SQL where it has any; the other queries are tested against brute force."""
+    return {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}

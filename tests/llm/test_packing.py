@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from lectern.llm import packing
-from lectern.llm.queries import tokenizer
+from lectern.llm.packing import public_byte_bpe as tokenizer
 
 from .conftest import ODD
 
