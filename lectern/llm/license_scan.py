@@ -121,7 +121,8 @@ def scan(
     asked = rows.where(F.arrays_overlap(F.split("words", " "), F.array(*map(F.lit, rare))))
     padded = F.concat(F.lit(" "), "words", F.lit(" "))
     stands = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {t.phrase} ")), F.lit(i)) for i, t in enumerate(templates)]))
-    hits = asked.select("key", stands.alias("stands"), F.posexplode(F.split("words", " ")).alias("pos", "word")).join(F.broadcast(postings), "word")
+    asked = asked.select("key", stands.alias("stands"), F.split("words", " ").alias("words"))  # before the words part, not once for each
+    hits = asked.select("key", "stands", F.posexplode("words").alias("pos", "word")).join(F.broadcast(postings), "word")
     votes = hits.groupBy("key", "template", (F.col("pos") - F.col("at")).alias("shift")).agg(
         F.count_distinct("at").alias("votes"), F.first("indexed").alias("indexed"), F.first(F.array_contains("stands", F.col("template"))).alias("stands")
     )
