@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import license_scan, line_dedup, mixing, neardup, packing, quality, secret_scan, sketch, toxicity
+from . import license_scan, line_dedup, media, mixing, neardup, packing, quality, secret_scan, sketch, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: those of this query are drawn from ``embeddings``, one thumbnail a vector."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return media.copies(media.thumbnails(vectors, id_col="vec_id", vector_col="embedding")).withColumnRenamed("image_id", "vec_id")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sketch.fingerprints(documents(spark, sf_dir))
     digest = sketch.digest
@@ -69,7 +75,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_mix, op2_simhash, op3_toxicity, op5_fingerprints, op6_secrets, op7_quality, op8_lines, op9_packing, op10_licenses)
+    own = (op1_mix, op2_simhash, op3_toxicity, op4_media, op5_fingerprints, op6_secrets, op7_quality, op8_lines, op9_packing, op10_licenses)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
