@@ -1,13 +1,16 @@
-"""All named queries of the engine."""
+"""All named queries of the engine, without those of the training-data operators."""
 
 from __future__ import annotations
 
-FLAGSHIP = "bm25_topk"
+from . import relational_queries, search_queries, structure_queries, text_queries  # noqa: F401  they register themselves
+from .registry import QUERIES, SQL
+
+FLAGSHIP = "rrf_hybrid"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
