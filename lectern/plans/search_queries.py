@@ -124,9 +124,9 @@ SEEDS = "seeds AS (SELECT 1 AS query_id, conv_id * 1000 + turn AS id, conv_id AS
 
 def neighbour_sql(hops: int) -> str:
     steps = ", ".join(f"({h}, {d})" for h in range(1, hops + 1) for d in (-1, 1))
-    return f"""WITH {CHAIN}, {SEEDS}, near AS (SELECT s.query_id, c.id, min(st.hop * 100000000 + s.rank * 10 + st.side) AS at FROM seeds s, (VALUES {steps}) st(hop, side), chain c WHERE c.doc = s.doc AND c.position = s.position + st.hop * st.side AND c.id NOT IN (SELECT id FROM seeds) GROUP BY 1, 2),
-allof AS (SELECT query_id, id, CAST(NULL AS VARCHAR) AS via, rank * 10 AS at FROM seeds UNION ALL SELECT query_id, id, 'neighbor', at FROM near)
-SELECT query_id, id, via, CAST(row_number() OVER (PARTITION BY query_id ORDER BY at, id) AS INTEGER) AS rank FROM allof"""
+    return f"""WITH {CHAIN}, {SEEDS}, near AS (SELECT s.query_id, c.id, min(st.hop * 100000000 + s.rank * 10 + st.side) AS pos FROM seeds s, (VALUES {steps}) st(hop, side), chain c WHERE c.doc = s.doc AND c.position = s.position + st.hop * st.side AND c.id NOT IN (SELECT id FROM seeds) GROUP BY 1, 2),
+allof AS (SELECT query_id, id, CAST(NULL AS VARCHAR) AS via, rank * 10 AS pos FROM seeds UNION ALL SELECT query_id, id, 'neighbor', pos FROM near)
+SELECT query_id, id, via, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos, id) AS INTEGER) AS rank FROM allof"""
 
 
 def neighbours(t: Tables, hops: int) -> DataFrame:
@@ -152,9 +152,9 @@ def chain_links(t: Tables):
     return t.conversations.select("conv_id", "turn", F.lag("turn").over(order).alias("prev_turn"), F.lead("turn").over(order).alias("next_turn"))
 
 
-@query(f"""{PAIR}, {FUSED}, {GUARD.format(core='hybrid', k=5, n=2, most=1)}, near AS (SELECT g.query_id, g.id + st.side AS id, min(g.rank * 10 + st.side) AS at FROM guarded g, (VALUES (-1), (1)) st(side) WHERE EXISTS (SELECT 1 FROM documents d JOIN documents e ON e.doc_id = d.doc_id + st.side AND e.doc_id // 10 = d.doc_id // 10 WHERE d.doc_id = g.id) AND NOT EXISTS (SELECT 1 FROM guarded x WHERE x.query_id = g.query_id AND x.id = g.id + st.side) GROUP BY 1, 2),
-allof AS (SELECT query_id, id, via, 0 AS hop, rank * 10 AS at FROM guarded UNION ALL SELECT query_id, id, 'neighbor', 1, at FROM near)
-SELECT query_id, id, via, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hop, at, id) AS INTEGER) AS rank FROM allof""")
+@query(f"""{PAIR}, {FUSED}, {GUARD.format(core='hybrid', k=5, n=2, most=1)}, near AS (SELECT g.query_id, g.id + st.side AS id, min(g.rank * 10 + st.side) AS pos FROM guarded g, (VALUES (-1), (1)) st(side) WHERE EXISTS (SELECT 1 FROM documents d JOIN documents e ON e.doc_id = d.doc_id + st.side AND e.doc_id // 10 = d.doc_id // 10 WHERE d.doc_id = g.id) AND NOT EXISTS (SELECT 1 FROM guarded x WHERE x.query_id = g.query_id AND x.id = g.id + st.side) GROUP BY 1, 2),
+allof AS (SELECT query_id, id, via, 0 AS hop, rank * 10 AS pos FROM guarded UNION ALL SELECT query_id, id, 'neighbor', 1, pos FROM near)
+SELECT query_id, id, via, CAST(row_number() OVER (PARTITION BY query_id ORDER BY hop, pos, id) AS INTEGER) AS rank FROM allof""")
 def retrieve_full(t: Tables):
     chain = t.documents.select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 10).alias("doc"), F.col("doc_id").alias("position"))
     queries = asked(t).join(asked_vectors(t), "query_id")

@@ -16,7 +16,7 @@ COLUMNS = ["p_brand", "p_type", "p_size", "p_name"]
 
 def part_tables(t: Tables) -> DataFrame:
     """(k, markdown): parts as tables of 20 rows, in order of brand."""
-    rows = t.part.withColumn("k", F.floor((F.col("p_partkey") - 1) / 20))
+    rows = t.part.withColumn("k", F.floor(F.col("p_partkey") / 20))
     return M.render(rows, "k", ["p_brand", "p_partkey"], COLUMNS)
 
 
@@ -24,7 +24,7 @@ def part_cells(t: Tables) -> DataFrame:
     return M.exploded(M.parse(part_tables(t), "k", "markdown"), "k")
 
 
-ROWS = "rows AS (SELECT (p_partkey - 1) // 20 AS k, row_number() OVER (PARTITION BY (p_partkey - 1) // 20 ORDER BY p_brand, p_partkey) - 1 AS r, * FROM part)"
+ROWS = "rows AS (SELECT p_partkey // 20 AS k, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_brand, p_partkey) - 1 AS r, * FROM part)"
 CELLS = ROWS + ", cells AS (" + " UNION ALL ".join(f"SELECT k, r, {j} AS c, '{name}' AS name, trim(CAST({name} AS VARCHAR)) AS value FROM rows" for j, name in enumerate(COLUMNS)) + ")"
 PROFILE = CELLS + """, marked AS (SELECT *, CASE WHEN lag(value) OVER (PARTITION BY k, c ORDER BY r) IS DISTINCT FROM value THEN 1 ELSE 0 END AS change FROM cells),
 prof AS (SELECT k, c, name, count(*) AS n_rows, count(*) FILTER (WHERE value <> '') AS n_filled, count(DISTINCT value) FILTER (WHERE value <> '') AS n_distinct, CAST(sum(change) AS BIGINT) AS n_runs,
