@@ -120,7 +120,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     gone = materialise(deleted_lines(docs, id_col=id_col, text_col=text_col, min_words=min_words), "deleted-lines")
     gone = gone.select(F.col("doc.id").alias("__id"), F.col("doc.mark").alias("__mark"), F.col("deleted").alias("__deleted"))
     same = F.col(f"__row.{id_col}").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"__row.{text_col}")) == F.col("__mark"))
-    rows = docs.select(F.struct("*").alias("__row")).join(gone, same, "left")
+    # a merge at every size: what loses lines grows with the corpus, so it is never broadcast
+    rows = docs.select(F.struct("*").alias("__row")).join(gone.hint("merge"), same, "left")
 
     def kept(lines: Column) -> Column:
         left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__deleted")
