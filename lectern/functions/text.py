@@ -12,8 +12,9 @@ CJK = "".join(f"{chr(a)}-{chr(z)}" for a, z in CJK_RANGES)
 JUNK_RANGES = ((0x80, 0x9F), (0xE000, 0xF8FF), (0xFFFD, 0xFFFD))
 JUNK = "[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in JUNK_RANGES) + "]"
 ASTRAL = r"[\x{10000}-\x{10FFFF}]"
-# Codes such as GSP-9050MBE, v1.2.0 or 12ab.
-CODE = r"[A-Za-z0-9]+(?:[-./][A-Za-z0-9]+)+|[A-Za-z]+\d[A-Za-z0-9]*|\d[A-Za-z]+[A-Za-z0-9]*"
+# Codes such as GSP-9050MBE, v1.2.0 or 12ab. A code that starts inside a run starts at its last digit before a letter,
+# so the other two kinds are only tried where a run starts, and no run is read more than once.
+CODE = r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]++(?:[-./][A-Za-z0-9]++)+|[A-Za-z]++\d[A-Za-z0-9]*+)|\d[A-Za-z][A-Za-z0-9]*+"
 # A citation mark, [1] or [1, 2].
 CITATION = r"\[\s*(\d+(?:\s*[,，、\s]\s*\d+)*)\s*\]"
 
@@ -47,13 +48,16 @@ def truncate_utf16(text: Column, units: int) -> Column:
 def code_tokens(text: Column) -> Column:
     """Distinct lower-case codes that hold a letter and a digit, in order of appearance."""
     found = F.transform(F.regexp_extract_all(text, F.lit(CODE), F.lit(0)), lambda x: F.lower(x))
-    return F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 2) & F.rlike(x, F.lit("[a-z]")) & F.rlike(x, F.lit(r"\d"))))
+    held = F.array_distinct(F.filter(found, lambda x: (F.length(x) >= 2) & F.rlike(x, F.lit("[a-z]")) & F.rlike(x, F.lit(r"\d"))))
+    return F.when(text.isNull() | F.rlike(text, F.lit(r"\d")), held).otherwise(F.array().cast("array<string>"))
 
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and of digits, single CJK characters, and the codes once more (they then count twice)."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(rf"[{CJK}]|[0-9]+|[\p{{L}}&&[^{CJK}]]+"), F.lit(0))
-    return F.concat(words, code_tokens(text))
+    low = F.lower(text)
+    plain = F.regexp_extract_all(low, F.lit(r"[0-9]+|\p{L}+"), F.lit(0))
+    mixed = F.regexp_extract_all(low, F.lit(rf"[{CJK}]|[0-9]+|[\p{{L}}&&[^{CJK}]]+"), F.lit(0))
+    return F.concat(F.when(F.rlike(low, F.lit(f"[{CJK}]")), mixed).otherwise(plain), code_tokens(text))
 
 
 def sentences(text: Column) -> Column:

@@ -62,10 +62,14 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     """(query_id, id, score, rank): the ``k`` best documents that hold any term; of the ids in ``scope`` if given."""
     tokens = tokenised(docs, id_col, text_col)
     terms = small(query_terms(queries))
-    asked = terms.select("term").distinct()
-    # only the terms that are asked for are counted
-    posts = tokens.select("id", "length", F.explode("tokens").alias("term")).join(asked, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    counted = doc_freq(posts).crossJoin(F.broadcast(corpus_stats(tokens)))
+    # only the terms that are asked for are counted, and an empty one that stands once in every document, for the statistics
+    asked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    held = tokens.select("id", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+    posts = held.join(small(asked), "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    # all three read tf, so that they share one scan and one shuffle
+    every = (F.col("term") == "") & (F.col("tf") > 0)
+    stats = posts.agg(F.count_if(every).alias("n_docs"), F.coalesce(F.avg(F.when(every & (F.col("length") > 0), F.col("length"))), F.lit(0.0)).alias("avg_length"))
+    counted = posts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).crossJoin(F.broadcast(stats))
     weights = posts.join(counted, "term").withColumn("w", bm25_weight(F.col("tf"), F.col("length"), F.col("n_docs"), F.col("avg_length"), F.col("df")))
     if scope is not None:
         weights = weights.join(scope.select(F.col(scope.columns[0]).alias("id")), "id", "left_semi")
