@@ -5,8 +5,8 @@ the id modulo 5 is 0) never train. Every document is scored where it lies, in Ar
 A score looks at the text alone.
 
 Defined cases: null and empty texts have all statistics 0 and are scored as such; documents without a label, or with a null
-label, don't train, and a document with several labels trains with each; a null id is held out; repeated rows score alike; an
-empty table or no label gives the same score to all; texts of any length are read whole; other columns are left alone.
+label, don't train, and a document with several labels trains with each; a null id is held out; repeated rows train once and
+score alike; an empty table or no label gives the same score to all; texts of any length are read whole; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -59,22 +59,25 @@ def table(texts: list[str | None]) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, most: int) -> DataFrame:
-    """At most ``most`` labels that aren't held out, the first by hash of their ids, with their documents: (text, label)."""
+    """At most ``most`` labels that aren't held out, the first by hash of their ids, with their documents: (id, text, label). Rows that
+    repeat id, text and label are one; an id with several texts has a row for each."""
     marked = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("__label")).where(F.col("__label").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = marked.orderBy(F.xxhash64("__id"), "__id", "__label").limit(most)
     joined = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
-    return joined.select("text", F.col("__label").alias("label"))
+    return joined.select(F.col("__id").alias("id"), "text", F.col("__label").alias("label")).distinct()
 
 
 def training_table(rows: DataFrame, describe: Callable[[list[str | None]], np.ndarray], width: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y) of at most ``most`` training rows, described by the executors: what comes to the driver is numbers, however long the texts."""
+    """(x, y) of at most ``most`` training rows, the first by hash of their ids, described by the executors: what comes to the driver is
+    numbers, however long the texts."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             x = describe(part.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), part.column(1)], ["x", "label"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), *part.columns[1:]], ["x", "label", "key", "id"])
 
-    got = rows.select("text", "label").mapInArrow(batches, "x array<double>, label int").orderBy("label", "x").limit(most).toArrow()
+    keyed = rows.select("text", "label", F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("id"))
+    got = keyed.mapInArrow(batches, "x array<double>, label int, key long, id string").orderBy("key", "id", "x", "label").limit(most).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(got.num_rows, width)
     return x, np.array(got.column("label").to_pylist(), float)
 

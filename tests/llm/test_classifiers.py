@@ -82,3 +82,20 @@ def test_odd_tables(spark, docs, marked, module):
     none = labels.limit(0)
     assert len({r.score for r in module.classify(frame, none).collect()}) == 1
     assert module.classify(spark.createDataFrame([], SCHEMA), labels).count() == 0
+
+
+@pytest.mark.parametrize("label", ["toxic", "quality"])
+def test_repeated_rows_do_not_push_out_a_class(spark, docs, label):
+    """The bound on training rows never falls on one class, whether documents repeat or ids have several texts."""
+    texts = [f"the river runs by house {i} and tree {i * 7}" + (" you zorgle" if i % 10 == 0 else "") for i in range(200)]
+    labels = spark.createDataFrame([(i, int("zorgle" in t), int("zorgle" in t)) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int")
+    most = quality.training_rows(docs(texts), labels, label, "doc_id", "text", 1000).count()
+
+    def trained(frame):
+        rows = quality.training_rows(frame, labels, label, "doc_id", "text", most)
+        return quality.training_table(rows, quality.table, len(quality.FEATURES), most)
+
+    (x, y), (again_x, again_y) = trained(docs(texts)), trained(docs(texts + texts[:150], ids=[*range(200), *range(150)]))
+    assert len(y) == most and (x == again_x).all() and (y == again_y).all() and 0 < y.mean() < 1
+    _, y = trained(docs(texts + [t + " more" for t in texts], ids=[*range(200), *range(200)]))
+    assert len(y) == most and 0 < y.mean() < 1
