@@ -18,6 +18,7 @@ empty result; texts of any length are read whole; other columns are left alone.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -39,6 +40,8 @@ HEADS, SHARDS = (3, 4, 5, 6, 7), 4
 NONE = -1
 
 _WORD = re.compile(r"[^\W_]+")
+#: Runs of the characters that ``str.isupper`` takes.
+_UPPER = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper())}]+")
 
 
 def mine(rows: DataFrame, most: int = MOST_TERMS) -> dict[tuple[int, str], float]:
@@ -95,7 +98,7 @@ class Lexicon:
         return Lexicon(tuple(tables))
 
     def describe(self, texts: list[str | None]) -> np.ndarray:
-        """Distinct words that hit, by shard; words; words that hit; share of letters in upper case; exclamation marks; distinct hits."""
+        """Distinct words that hit, by shard; words; words that hit; share of characters in upper case; exclamation marks; distinct hits."""
         out = np.zeros((len(texts), self.width))
         for row, text in zip(out, texts, strict=True):
             words = _WORD.findall((text or "").lower())
@@ -106,8 +109,8 @@ class Lexicon:
                     n = words.count(word)
                     row[found] += 1
                     hits, distinct = hits + n, distinct + 1
-            upper = sum(map(str.isupper, text[:: max(1, len(text) // 512)])) if text else 0
-            row[-5:] = len(words), hits, upper / max(1, min(512, len(text or ""))), (text or "").count("!"), distinct
+            upper = sum(map(len, _UPPER.findall(text or "")))
+            row[-5:] = len(words), hits, upper / max(1, len(text or "")), (text or "").count("!"), distinct
         return out
 
 

@@ -99,3 +99,9 @@ def test_repeated_rows_do_not_push_out_a_class(spark, docs, label):
     assert len(y) == most and (x == again_x).all() and (y == again_y).all() and 0 < y.mean() < 1
     _, y = trained(docs(texts + [t + " more" for t in texts], ids=[*range(200), *range(200)]))
     assert len(y) == most and 0 < y.mean() < 1
+
+
+@pytest.mark.parametrize("text", ["A" * 300 + "b" * 700, "ab" * 5000 + "C", ("É" + "é" * 511) * 4 + "x" * 400, "ΩÄ😀ſab", "", None])
+def test_share_of_capitals_is_of_the_whole_text(text):
+    upper = toxicity.Lexicon.of({}).describe([text])[0, -3]
+    assert upper == pytest.approx(sum(map(str.isupper, text or "")) / max(1, len(text or "")))
