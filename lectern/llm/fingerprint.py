@@ -38,13 +38,13 @@ def simhash64(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big", signed=True)
 
 
-def with_fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp): a document's id and its SimHash as a signed 64-bit integer. Narrow: nothing is shuffled."""
+def with_fingerprints(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(doc_id, fp): a document's id and its SimHash as a signed 64-bit integer; then the long columns ``more``. Narrow: nothing is shuffled."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             fps = pa.array([simhash64(t) for t in part.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), fps], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), fps, *part.columns[2:]], ["doc_id", "fp", *more])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(batches, "doc_id long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
+    return slim.mapInArrow(batches, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))

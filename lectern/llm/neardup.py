@@ -84,18 +84,33 @@ def near_pairs(fps: DataFrame, radius: int = 4, most: int = 128, levels: int = 3
     return out
 
 
+def _rooted(marked: DataFrame, radius: int) -> DataFrame:
+    """(fp, first_id, root): each distinct fingerprint of ``marked`` (doc_id, fp), its least id and its component's least fingerprint."""
+    fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    roots = components(near_pairs(fps, radius))
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): every document's fingerprint and the least id that links reach from it, itself included."""
     marked = materialise(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(near_pairs(fps, radius))
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(marked, radius)
     first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = materialise(rooted.join(first, "root").select("fp", "component_id"), "fingerprint-components")
     return marked.join(named, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is their component's least; of rows that repeat it, one."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    """One row, with all its columns, of each component: that with the least id, nulls last, then the least hash of its text, then of
+    its other columns. Unlike texts that share an id, or have none, are components of their own and stay."""
+    text_hash = F.xxhash64(F.col(text_col).cast("string"))
+    marked = materialise(with_fingerprints(docs.withColumn("__hash", text_hash), id_col, text_col, "__hash"), "fingerprints")
+    # components are told apart by their roots: an id may stand in several
+    rooted = marked.join(_rooted(marked, radius).select("fp", "root"), "fp")
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("__hash").alias("hash"))).alias("kept"))
+    kept = first.select(*[F.col(f"kept.{k}").alias(f"__{k}") for k in ("none", "id", "hash")])
+    ids = F.col(id_col).cast("long")
+    keyed = docs.select(F.struct("*").alias("__row"), F.isnull(ids).alias("__none"), F.coalesce(ids, F.lit(0)).alias("__id"), text_hash.alias("__hash"))
+    met = keyed.join(kept, ["__none", "__id", "__hash"], "left_semi")
+    rest = F.xxhash64(*[F.col("__row").getField(c) for c, kind in docs.dtypes if "map<" not in kind])
+    return met.groupBy("__none", "__id", "__hash").agg(F.min_by("__row", rest).alias("__row")).select("__row.*")

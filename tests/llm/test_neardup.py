@@ -92,3 +92,14 @@ def test_one_of_each(docs):
     assert sorted(r.doc_id for r in kept.collect()) == [2, 7, 8] and kept.columns == frame.columns
     assert neardup.one_of_each(docs([])).count() == 0
     assert neardup.near_duplicates(docs(["x", "x"], ids=[None, 3])).where("component_id = 3").count() == 2
+
+
+def test_one_of_each_with_null_and_repeated_ids(docs):
+    """Unlike texts stay whatever their ids; of near-duplicates the least id stays, nulls last, also where its id stands elsewhere."""
+    base = " ".join(f"word{i}" for i in range(400))
+    near = base.upper()  # the same fingerprint, another text
+    texts = ["alone with no id", "also alone, and without an id", base, near, near, "quite another text of id 3", "one of two texts", "the second text of this id", "one of two texts"]
+    ids = [None, None, 3, 2, None, 3, 5, 5, 5]
+    kept = sorted(((r.doc_id, r.text) for r in neardup.one_of_each(docs(texts, ids)).collect()), key=str)
+    want = [(None, texts[0]), (None, texts[1]), (2, near), (3, texts[5]), (5, texts[6]), (5, texts[7])]
+    assert kept == sorted(want, key=str)
