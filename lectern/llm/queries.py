@@ -33,9 +33,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images: those of this query are drawn from ``embeddings``, one thumbnail a vector."""
-    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return media.copies(media.thumbnails(vectors, id_col="vec_id", vector_col="embedding")).withColumnRenamed("image_id", "vec_id")
+    """The tables hold no images: those of this query are pictures of the pages that the texts of ``documents`` fill."""
+    return media.copies(media.page_pictures(documents(spark, sf_dir))).withColumnRenamed("image_id", "doc_id")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
