@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The characters that count as one token each, as first and last code points.
 CJK_RANGES = ((0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x3040, 0x30FF), (0xFF00, 0xFFEF))
 CJK = "".join(f"{chr(a)}-{chr(z)}" for a, z in CJK_RANGES)
+# What counts as white space, for use within brackets.
+SPACE = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 # C1 controls, private use, the replacement character.
 JUNK_RANGES = ((0x80, 0x9F), (0xE000, 0xF8FF), (0xFFFD, 0xFFFD))
 JUNK = "[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in JUNK_RANGES) + "]"
@@ -19,6 +23,15 @@ CODE = r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]++(?:[-./][A-Za-z0-9]++)+|[A-Za-z]++\d[A-
 CITATION = r"\[\s*(\d+(?:\s*[,，、\s]\s*\d+)*)\s*\]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once per row, however often ``then`` or a lambda in it refers to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
 def utf16_length(text: Column) -> Column:
     """Length in UTF-16 units."""
     return F.length(text) + F.regexp_count(text, F.lit(ASTRAL))
@@ -62,7 +75,7 @@ def tokens(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Pieces that end after any of 。！？!? or a line break, those without content dropped. A full stop ends nothing."""
-    return F.filter(F.split(text, r"(?<=[。！？!?\n])"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
+    return F.filter(F.split(text, r"(?<=[。！？!?\n])"), lambda s: F.rlike(s, F.lit(f"[^{SPACE}]")))
 
 
 def pack(pieces: Column, target: int) -> Column:

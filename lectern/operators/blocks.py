@@ -1,44 +1,59 @@
 """Markdown structure: blocks, headings, chunks.
 
-Documents without code fences are split with built-in expressions (:func:`headings`, :func:`sections`); :func:`chunk_markdown`
-folds each document in order, fences included, in Arrow batches. A document is folded alone, so nothing is shuffled.
+All of it is built-in expressions within a document's row: a regular expression parts the text into blocks, and a fold over these
+makes the chunks. So nothing is shuffled and no text leaves the JVM.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, chunk_id
+from ..functions.text import SPACE, chunk_id, estimate_tokens, let, pack, sentences, trimmed
+from . import tables
 
-HEADING = r"^(#{1,6})\s+(.*\S)\s*$"
-_HEADING, _FENCE, _ROW = re.compile(HEADING), re.compile(r"^\s*(```|~~~)"), re.compile(r"^\s*\|.*\|\s*$")
-_CJK, _SENTENCE = re.compile(f"[{CJK}]"), re.compile(r"(?<=[。！？!?\n])")
+# What starts a fence, what a heading and a table's row look like; blanks are white space within a line.
+BLANK = f"[{SPACE}&&[^\\n]]"
+FENCE = "```|~~~"
+HEADING = rf"#{{1,6}}{BLANK}+[^{SPACE}].*"
+ROW = rf"{BLANK}*\|.*\|{BLANK}*"
+#: A fence ends at the mark that opened it, or with the text. Loops over lines are possessive, so long texts need no stack.
+FENCED = rf"^{BLANK}*({FENCE}).*(?:\n(?!{BLANK}*\1).*)*+(?:\n{BLANK}*\1.*)?"
+PARAGRAPH_LINE = rf"^(?!{BLANK}*(?:{FENCE})|{HEADING}|{ROW}$).*[^{SPACE}].*$"
+BLOCK = rf"(?dm){FENCED}|^{HEADING}$|(?:^{ROW}$\n?)++|(?:{PARAGRAPH_LINE}\n?)++"
+SEGMENT = rf"(?dm){FENCED}\n?|^.*\n|^.+"
 
 
-def estimate(text: str) -> int:
-    """What :func:`lectern.functions.text.estimate_tokens` gives, of one string."""
-    cjk = len(_CJK.findall(text))
-    return cjk + math.ceil((len(text.encode("utf-16-le")) // 2 - cjk) / 4)
+def lines_as_one(text: Column) -> Column:
+    """Line ends as \\n."""
+    return F.regexp_replace(text, r"\r\n?", "\n")
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, line), line ends normalised."""
-    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.regexp_replace(text_col, r"\r\n?", "\n"), "\n")).alias("line_no", "line"))
+def segments(text: Column) -> Column:
+    """array<struct<raw, level, title>>: a text's lines with their ends, each fenced block as one; ``level`` is 0 but for headings.
+    All of ``raw`` together are the text."""
+
+    def segment(raw: Column) -> Column:
+        line = F.regexp_extract(raw, rf"^({HEADING})\n?$", 1)
+        title = trimmed(F.regexp_replace(line, "^#+", ""))
+        return F.struct(raw.alias("raw"), F.length(F.regexp_extract(line, "^#*", 0)).alias("level"), title.alias("title"))
+
+    return F.transform(F.regexp_extract_all(lines_as_one(text), F.lit(SEGMENT), F.lit(0)), segment)
+
 
+def headings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Headings outside fences: (id, line_no, level, title)."""
+    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(segments(F.col(text_col))).alias("place", "s"))
+    before = Window.partitionBy("id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    line_no = F.coalesce(F.sum(F.regexp_count("s.raw", F.lit(r"\n"))).over(before), F.lit(0)).cast("int")
+    return parts.select("id", line_no.alias("line_no"), "s.level", "s.title").where("level > 0")
 
-def headings(lines: DataFrame) -> DataFrame:
-    """Headings outside fences: (id, line_no, level, title). A fence mark opens or closes as marks are counted."""
-    marks = F.sum(F.rlike("line", F.lit(r"^\s*(```|~~~)")).cast("int")).over(Window.partitionBy("id").orderBy("line_no"))
-    outside = lines.withColumn("marks", marks).where("marks % 2 = 0")
-    found = outside.where(F.rlike("line", F.lit(HEADING)))
-    return found.select("id", "line_no", F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), F.regexp_extract("line", HEADING, 2).alias("title"))
+
+def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, line_no, line), line ends normalised."""
+    return docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(lines_as_one(F.col(text_col)), "\n")).alias("line_no", "line"))
 
 
 def heading_paths(found: DataFrame, deepest: int = 6) -> DataFrame:
@@ -53,213 +68,149 @@ def heading_paths(found: DataFrame, deepest: int = 6) -> DataFrame:
     return found.withColumn("path", F.array_compact(F.array(*parts)))
 
 
-def blocks(text: str) -> list[tuple[str, str, int, str]]:
-    """(kind, text, level, title) in order; fences before headings before tables before paragraphs."""
-    lines, out, at = re.sub(r"\r\n?", "\n", text).split("\n"), [], 0
-    while at < len(lines):
-        line, first = lines[at], at
-        at += 1
-        if fence := _FENCE.match(line):
-            while at < len(lines) and not lines[at].lstrip().startswith(fence[1]):
-                at += 1
-            at += 1
-            out.append(("code", "\n".join(lines[first:at]), 0, ""))
-        elif head := _HEADING.match(line):
-            out.append(("heading", line.strip(), len(head[1]), head[2]))
-        elif _ROW.match(line):
-            while at < len(lines) and _ROW.match(lines[at]):
-                at += 1
-            out.append(("table", "\n".join(lines[first:at]), 0, ""))
-        elif line.strip():
-            while at < len(lines) and lines[at].strip() and not (_FENCE.match(lines[at]) or _HEADING.match(lines[at]) or _ROW.match(lines[at])):
-                at += 1
-            out.append(("para", "\n".join(lines[first:at]).strip(), 0, ""))
-    return out
-
-
-def sentence_packs(text: str, target: int) -> list[str]:
-    packs, now = [], ""
-    for piece in (s for s in _SENTENCE.split(text) if s.strip()):
-        if now and estimate(now + piece) > target:
-            packs.append(now.strip())
-            now = ""
-        now += piece
-    return [*packs, now.strip()] if now.strip() else packs or [text]
-
-
-def overlap_tail(text: str, budget: int) -> str:
+def blocks(text: Column) -> Column:
+    """array<struct<kind, text, size, level, title>> in order: code, heading, table or para; ``size`` in tokens."""
+
+    def block(raw: Column) -> Column:
+        kind = F.when(F.rlike(raw, F.lit(rf"^{BLANK}*(?:{FENCE})")), "code").when(F.rlike(raw, F.lit(rf"^(?d:{HEADING})$")), "heading")
+        kind = kind.when(F.rlike(raw, F.lit(rf"(?d)^{ROW}(?:\n|$)")), "table").otherwise("para")
+        return let(F.struct(kind.alias("kind"), raw.alias("raw")), told)
+
+    def told(x: Column) -> Column:
+        body = F.when(x["kind"] == "code", x["raw"]).when(x["kind"] == "table", F.regexp_replace(x["raw"], r"\n$", "")).otherwise(trimmed(x["raw"]))
+        return let(F.struct(x["kind"].alias("kind"), body.alias("text")), measured)
+
+    def measured(x: Column) -> Column:
+        head = x["kind"] == "heading"
+        level = F.when(head, F.length(F.regexp_extract(x["text"], "^#*", 0))).otherwise(0)
+        title = F.when(head, trimmed(F.regexp_replace(x["text"], "^#+", ""))).otherwise("")
+        return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), estimate_tokens(x["text"]).alias("size"), level.alias("level"), title.alias("title"))
+
+    return F.transform(F.regexp_extract_all(lines_as_one(text), F.lit(BLOCK), F.lit(0)), block)
+
+
+def overlap_tail(text: Column, budget: int) -> Column:
     """Sentences from the end within ``budget``, one at least; nothing for a budget of 0."""
-    pieces = [s for s in _SENTENCE.split(text) if s.strip()] if budget > 0 else []
-    tail = ""
-    for piece in reversed(pieces):
-        if tail and estimate(piece + tail) > budget:
-            break
-        tail = piece + tail
-    return tail.strip()
-
-
-def cells(line: str) -> list[str]:
-    return [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", re.sub(r"^\||(?<!\\)\|$", "", line.strip()))]
-
-
-def table_parts(text: str) -> tuple[str, list[str]]:
-    """(header lines, row lines) of a table."""
-    lines = [x for x in text.split("\n") if x.strip()]
-    separated = len(lines) > 1 and "-" in lines[1] and not re.sub(r"[\s|:-]", "", lines[1])
-    return "\n".join(lines[: 1 + separated]), lines[1 + separated :]
-
-
-def group_column(rows: list[list[str]]) -> int:
-    """The column whose equal values stand together best, -1 if none does; see ``tables.group_columns``."""
-    best, score, n = -1, 0.0, len(rows)
-    for j in range(max(map(len, rows), default=0) if n >= 4 else 0):
-        values = [r[j] if j < len(r) else "" for r in rows]
-        filled = [v for v in values if v]
-        distinct, runs = len(set(filled)), 1 + sum(a != b for a, b in zip(values, values[1:], strict=False))
-        if 2 * len(filled) >= n and 2 <= distinct <= n / 2 and distinct / runs >= 0.8 and distinct / runs * (1 - distinct / n) > score:
-            best, score = j, distinct / runs * (1 - distinct / n)
-    return best
-
-
-def table_summary(title: str, header: list[str], rows: list[list[str]]) -> str | None:
-    """What a table's columns hold, for tables of four rows or more."""
-    n = len(rows)
-    if n < 4:
-        return None
-    named = [h for h in header if h]
-    out = [f"{title}: {n} x {len(named)}", " | ".join(named)]
-    for j in range(max(len(header), *map(len, rows))):
-        values = [r[j] for r in rows if j < len(r) and r[j]]
-        name = header[j] if j < len(header) and header[j] else f"第{j + 1}列"
-        distinct, numbers = list(dict.fromkeys(values)), [x for x in map(_number, values) if x is not None]
-        if values and len(distinct) <= min(40, n / 2):
-            out.append(f"{name}: {'、'.join(distinct)}")
-        elif values and len(numbers) >= 0.8 * len(values):
-            out.append(f"{name}: {min(numbers):g} ~ {max(numbers):g}")
-    return "\n".join(out)
-
-
-def _number(value: str) -> float | None:
-    try:
-        x = float(re.sub("[,，]", "", value))
-    except ValueError:
-        return None
-    return x if math.isfinite(x) else None
-
-
-def row_packs(header: str, rows: list[str], group: int, target: int, most: int) -> list[str]:
-    """Rows under their header: a pack ends where the group changes, or before it would pass ``most``; without a group column
-    also once it holds ``target``."""
-    packs, now, key, size, base = [], [], None, 0, estimate(header)
-    for row in rows:
-        own = cells(row)
-        value = own[group] if 0 <= group < len(own) else ""
-        need = estimate(row)
-        if now and (base + size + need > most or (value != key if group >= 0 else size >= target)):
-            packs.append("\n".join([header, *now]))
-            now, size = [], 0
-        now.append(row)
-        key, size = value, size + need
-    return [*packs, "\n".join([header, *now])] if now else packs
-
-
-@dataclass
-class Chunker:
-    """Folds one document's blocks into chunks of (content, kind, path, is_row)."""
-
-    title: str
-    target: int = 700
-    most: int = 800
-    overlap: int = 80
-    row_mode: bool = False
-    summary: bool = True
-    out: list[tuple] = field(default_factory=list)
-    parts: list[tuple[str, str]] = field(default_factory=list)
-    size: int = 0
-    body: bool = False
-    stack: list[tuple[int, str]] = field(default_factory=list)
-
-    def emit(self, carry: bool, is_row: bool = False) -> None:
-        kinds = {k for k, t in self.parts if k and t.strip()}
-        kind = kinds.pop() if len(kinds) == 1 else "text"
-        content = "\n\n".join(t for _, t in self.parts)
-        if content.strip():
-            self.out.append((content, kind, [t for _, t in self.stack], is_row))
-        tail = overlap_tail("\n\n".join(t for k, t in self.parts if k), self.overlap) if carry and kind == "text" else ""
-        self.parts, self.size, self.body = ([("text", tail)] if tail else []), estimate(tail) if tail else 0, False
-
-    def push(self, kind: str, text: str) -> None:
-        if self.body and self.size + estimate(text) > self.target:
-            self.emit(True)
-        self.parts.append((kind, text))
-        self.size, self.body = self.size + estimate(text), True
-
-    def table_rows(self, text: str) -> None:
-        if self.body:
-            self.emit(False)
-        header, rows = table_parts(text)
-        grid = [cells(r) for r in rows]
-        title = self.stack[-1][1] if self.stack else self.title
-        overview = table_summary(title, cells(header.split("\n")[0]), grid) if self.summary else None
-        whole = [] if rows else [text]
-        for piece in [*([overview] if overview else []), *row_packs(header, rows, group_column(grid), self.target, self.most), *whole]:
-            self.parts = [("table", piece)]
-            self.emit(False, True)
-
-    def add(self, kind: str, text: str, level: int, title: str) -> None:
-        if kind == "heading":
-            if self.body:
-                self.emit(False)
-            self.stack = [*(s for s in self.stack if s[0] < level), (level, title)]
-            self.parts.append(("", text))
-            self.size += estimate(text)
-        elif kind == "table" and self.row_mode:
-            self.table_rows(text)
-        elif kind != "para" and estimate(text) > self.most:
-            if self.parts:
-                self.emit(False)
-            header, rows = table_parts(text)
-            pieces = row_packs(header, rows, group_column([cells(r) for r in rows]), self.target, self.most) if kind == "table" and rows else [text]
-            for piece in pieces:
-                self.parts = [(kind, piece)]
-                self.emit(False)
-        elif kind == "para":
-            for piece in sentence_packs(text, self.target) if estimate(text) > self.most else [text]:
-                self.push("text", piece)
-        else:
-            self.push(kind, text)
-
-    def run(self, text: str) -> list[tuple]:
-        for block in blocks(text):
-            self.add(*block)
-        if self.body:
-            self.emit(False)
-        return self.out
-
-
-CHUNKS = "id long, chunk_index int, content string, chunk_type string, heading_path array<string>, is_table_row boolean, token_estimate int"
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("full"))
 
+    def step(s: Column, piece: Column) -> Column:
+        more = F.concat(piece, s["tail"])
+        full = s["full"] | ((s["tail"] != "") & (estimate_tokens(more) > budget))
+        return let(full, lambda f: F.struct(F.when(f, s["tail"]).otherwise(more).alias("tail"), f.alias("full")))
 
-def chunk_markdown(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, **options) -> DataFrame:
-    """Chunks of each document with their ids and their neighbours' ids; see :class:`Chunker` for the options."""
+    return F.aggregate(F.reverse(sentences(text)), start, step, lambda s: trimmed(s["tail"])) if budget > 0 else F.lit("")
+
+
+def _piece(how: str, text: Column, size: Column, level: Column | int = 0, title: Column | str = "") -> Column:
+    """A part that the fold of :func:`chunks` takes; ``how`` says what becomes of it."""
+    of = {"level": level, "title": title}
+    return F.struct(F.lit(how).alias("how"), text.alias("text"), size.alias("size"), *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in of.items()])
+
+
+def table_pieces(text: Column, target: int, most: int, summary: bool) -> Column:
+    """A table's overview and its packs of rows; the table itself if it has no row."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
+    parted = F.rlike(F.get(lines, F.lit(1)), F.lit(r"-")) & (F.regexp_replace(F.get(lines, F.lit(1)), f"[{SPACE}|:-]", "") == "")
+    head = F.when(F.coalesce(parted, F.lit(False)), 2).otherwise(1)
+
+    def pieces(x: Column) -> Column:
+        rows = F.slice(x["lines"], x["head"] + 1, F.greatest(F.size(x["lines"]) - x["head"], F.lit(0)))
+        table = F.struct(F.array_join(F.slice(x["lines"], F.lit(1), x["head"]), "\n").alias("top"), tables.cells_of(F.get(x["lines"], F.lit(0))).alias("header"), rows.alias("rows"), F.transform(rows, tables.cells_of).alias("cells"))
+        return let(table, packs)
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for i, text, name in zip(part["id"], part["text"], part["title"], strict=True):
-                made = Chunker(name or "", **options).run(text or "")
-                rows += [(i, k, c, kind, path, row, estimate(c)) for k, (c, kind, path, row) in enumerate(made)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHUNKS.split(", ")])
+    def packs(t: Column) -> Column:
+        groups = let(tables.group_index(t["cells"]), lambda g: F.when(g >= 0, F.transform(t["cells"], lambda r: F.coalesce(F.get(r, g), F.lit("")))))
+        packed = F.transform(tables.pack_rows(t["rows"], groups, t["top"], target, most), lambda p: _piece("row", p, F.lit(0).cast("long")))
+        told = F.array(_piece("overview", tables.overview_text(t["header"], t["cells"]), F.lit(0).cast("long")))
+        every = F.concat(F.filter(told, lambda p: p["text"].isNotNull()), packed) if summary else packed
+        return F.when(F.size(t["rows"]) > 0, every).otherwise(F.array(_piece("row", text, F.lit(0).cast("long"))))
 
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (title if title is not None else F.lit("")).alias("title"))
-    return linked(slim.mapInPandas(batches, CHUNKS))
+    return let(F.struct(lines.alias("lines"), head.alias("head")), pieces)
 
 
-def linked(chunks: DataFrame) -> DataFrame:
-    """Chunks with ``chunk_id``, ``prev_chunk_id`` and ``next_chunk_id``."""
-    order = Window.partitionBy("id").orderBy("chunk_index")
-    named = chunks.withColumn("chunk_id", chunk_id(F.col("id"), F.col("chunk_index")))
-    return named.withColumn("prev_chunk_id", F.lag("chunk_id").over(order)).withColumn("next_chunk_id", F.lead("chunk_id").over(order))
+_STATE = "struct<done:array<struct<content:string,chunk_type:string,heading_path:array<string>,is_table_row:boolean>>,stack:array<struct<level:int,title:string>>,text:string,kinds:int,size:bigint,body:boolean>"
+_TEXT, _TABLE, _CODE = 1, 2, 4
+
+
+def chunks(text: Column, title: Column, *, target: int = 700, most: int = 800, overlap: int = 80, row_mode: bool = False, summary: bool = True) -> Column:
+    """array<struct<content, chunk_type, heading_path, is_table_row>> of a markdown text.
+
+    A chunk gathers blocks under its headings up to ``target`` tokens; a new heading starts another. Paragraphs over ``most`` are cut
+    at sentences, tables and code over it stand alone, whole. Where text runs on from one chunk to the next, about ``overlap`` tokens
+    are repeated. In ``row_mode`` tables are packs of rows under their header, with an overview before them.
+    """
+
+    def pieces(b: Column) -> Column:
+        whole = F.array(_piece("text", b["text"], b["size"]))
+        cut = F.transform(pack(sentences(b["text"]), target), lambda s: _piece("text", s, estimate_tokens(s)))
+        out = F.when(b["kind"] == "heading", F.array(_piece("heading", b["text"], b["size"], b["level"], b["title"]))).when(b["kind"] == "para", F.when(b["size"] > most, cut).otherwise(whole))
+        if row_mode:
+            out = out.when(b["kind"] == "table", table_pieces(b["text"], target, most, summary))
+        for kind in ("table", "code"):
+            out = out.when(b["kind"] == kind, F.when(b["size"] > most, F.array(_piece(f"whole {kind}", b["text"], b["size"]))).otherwise(F.array(_piece(kind, b["text"], b["size"]))))
+        return out
+
+    def state(**fields: Column) -> Column:
+        return F.struct(*[fields[k].alias(k) for k in ("done", "stack", "text", "kinds", "size", "body")])
+
+    def chunk(s: Column, content: Column, kind: Column, is_row: bool) -> Column:
+        path = F.transform(s["stack"], lambda x: x["title"])
+        return F.array(F.struct(content.alias("content"), kind.alias("chunk_type"), path.alias("heading_path"), F.lit(is_row).alias("is_table_row")))
+
+    def flushed(s: Column, carry: bool = False) -> Column:
+        kind = F.when(s["kinds"] == _TABLE, "table").when(s["kinds"] == _CODE, "code").otherwise("text")
+
+        def out(content: Column) -> Column:
+            tail = F.when((kind == "text") & (content != ""), F.nullif(overlap_tail(content, overlap), F.lit(""))) if carry else F.lit(None).cast("string")
+            done = F.when(content == "", s["done"]).otherwise(F.concat(s["done"], chunk(s, content, kind, False)))
+            return let(tail, lambda t: state(done=done, stack=s["stack"], text=t, kinds=F.when(t.isNull(), 0).otherwise(_TEXT), size=F.coalesce(estimate_tokens(t), F.lit(0).cast("long")), body=F.lit(False)))
+
+        return let(trimmed(F.coalesce(s["text"], F.lit(""))), out)
+
+    def alone(s: Column, content: Column, kind: str, is_row: bool) -> Column:
+        done = F.when(content == "", s["done"]).otherwise(F.concat(s["done"], chunk(s, content, F.lit(kind), is_row)))
+        return state(done=done, stack=s["stack"], text=F.lit(None).cast("string"), kinds=F.lit(0), size=F.lit(0).cast("long"), body=F.lit(False))
+
+    def added(s: Column, p: Column, kind: int, body: bool) -> Column:
+        stack = s["stack"] if body else F.concat(F.filter(s["stack"], lambda x: x["level"] < p["level"]), F.array(F.struct(p["level"].alias("level"), p["title"].alias("title"))))
+        kinds = F.when(F.rlike(p["text"], F.lit(f"[^{SPACE}]")), s["kinds"].bitwiseOR(F.lit(kind))).otherwise(s["kinds"])
+        return state(done=s["done"], stack=stack, text=F.concat_ws("\n\n", s["text"], p["text"]), kinds=kinds, size=s["size"] + p["size"], body=F.lit(True) if body else s["body"])
+
+    def standing(p: Column, kind: str) -> Callable[[Column], Column]:
+        return lambda s: alone(s, trimmed(p["text"]), kind, False)
+
+    def adding(p: Column, kind: int) -> Callable[[Column], Column]:
+        return lambda s: added(s, p, kind, True)
+
+    def step(s: Column, p: Column) -> Column:
+        def freed(carry: bool, full: Column) -> Column:
+            return F.when(full, flushed(s, carry)).otherwise(s)
+
+        over = s["body"] & (s["size"] + p["size"] > target)
+        above = F.coalesce(F.element_at(F.transform(s["stack"], lambda x: x["title"]), F.when(F.size(s["stack"]) > 0, -1)), title)
+        headed = F.when(p["how"] == "overview", F.concat(F.when(above != "", F.concat(above, F.lit(" — "))).otherwise(""), p["text"])).otherwise(p["text"])
+        out = F.when(p["how"] == "heading", let(freed(False, s["body"]), lambda t: added(t, p, _TEXT, False)))
+        out = out.when(p["how"].isin("row", "overview"), let(freed(False, s["body"]), lambda t: alone(t, trimmed(headed), "table", True)))
+        for kind in ("table", "code"):
+            out = out.when(p["how"] == f"whole {kind}", let(freed(False, s["text"].isNotNull()), standing(p, kind)))
+        for kind, bit in (("text", _TEXT), ("table", _TABLE), ("code", _CODE)):
+            out = out.when(p["how"] == kind, let(freed(True, over), adding(p, bit)))
+        return out.cast(_STATE)
+
+    start = F.from_json(F.lit('{"done": [], "stack": [], "kinds": 0, "size": 0, "body": false}'), _STATE)
+    return F.aggregate(F.flatten(F.transform(blocks(text), pieces)), start, step, lambda s: F.when(s["body"], flushed(s)["done"]).otherwise(s["done"]))
+
+
+def chunk_markdown(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, **options) -> DataFrame:
+    """Chunks of each document with their ids and their neighbours' ids; see :func:`chunks` for the options."""
+    made = chunks(F.coalesce(F.col(text_col), F.lit("")), title if title is not None else F.lit(""), **options)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), made.alias("made"))
+    rows = rows.select("id", F.size("made").alias("n"), F.posexplode("made").alias("chunk_index", "x")).select("id", "n", "chunk_index", "x.*")
+    i, index = F.col("id"), F.col("chunk_index")
+    return rows.select(
+        "id", "chunk_index", "content", "chunk_type", "heading_path", "is_table_row", estimate_tokens(F.col("content")).cast("int").alias("token_estimate"),
+        chunk_id(i, index).alias("chunk_id"), F.when(index > 0, chunk_id(i, index - 1)).alias("prev_chunk_id"), F.when(index + 1 < F.col("n"), chunk_id(i, index + 1)).alias("next_chunk_id"),
+    )
 
 
 def apply_inserts(docs: DataFrame, inserts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens
+from ..functions.text import estimate_tokens, let
 
 SEPARATOR = r"^[\s|:-]*-[\s|:-]*$"
 #: Values of a column that a profile lists, at most.
@@ -30,7 +30,7 @@ def render(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> D
 
 def cells_of(line: Column) -> Column:
     """A row's cells: outer bars off, split at bars that aren't escaped, unescaped, trimmed."""
-    inner = F.regexp_replace(F.trim(line), r"^\||(?<!\\)\|$", "")
+    inner = F.regexp_replace(F.trim(line), r"^\||\|$", "")
     return F.transform(F.split(inner, r"(?<!\\)\|"), lambda c: F.trim(F.replace(c, F.lit("\\|"), F.lit("|"))))
 
 
@@ -57,7 +57,7 @@ def profile(cells: DataFrame, key: str) -> DataFrame:
     edge = marked.groupBy(key, "col_idx", "part").agg(F.max_by("value", "row_idx").alias("last")).withColumn("part", F.col("part") + 1)
     marked = marked.join(edge, [key, "col_idx", "part"], "left")
     before = F.when(F.pmod("row_idx", F.lit(size)) == 0, F.col("last")).otherwise(F.col("prior"))
-    number = F.expr("try_cast(regexp_replace(value, '[,，]', '') AS DOUBLE)")
+    number = number_of(F.col("value"))
     filled = F.col("value") != ""
     return marked.withColumn("changes", (F.col("row_idx") == 0) | (F.col("value") != before)).groupBy(key, "col_idx").agg(
         F.max("name").alias("name"),
@@ -96,9 +96,70 @@ def overview(cells: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "col_idx", name.alias("name"), summary.alias("summary"))
 
 
+def number_of(value: Column) -> Column:
+    """A cell as a number, commas left out; null if it is none."""
+    digits = F.trim(F.regexp_replace(value, "[,，]", ""))
+    known = F.rlike(digits, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"))
+    return F.when(known, digits.try_cast("double")).when((digits == "") & (value != ""), 0.0)
+
+
 def plain_number(x: Column) -> Column:
-    """30 rather than 30.0."""
-    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+    """30 rather than 30.0, and no exponent."""
+    written = x.cast("string")
+    return F.coalesce(F.regexp_replace(written.try_cast("decimal(38,18)").cast("string"), r"\.?0+$", ""), written)
+
+
+def group_index(cells: Column) -> Column:
+    """The column of rows (array<array<string>>) whose equal values stand together best; -1 where none does. As :func:`group_columns`,
+    for a table within one row."""
+    n = F.size(cells)
+
+    def scored(j: Column) -> Column:
+        def score(values: Column) -> Column:
+            filled = F.filter(values, lambda v: v != "")
+            changes = F.zip_with(F.slice(values, F.lit(1), n - 1), F.slice(values, F.lit(2), n - 1), lambda a, b: a != b)
+            distinct, runs = F.size(F.array_distinct(filled)), 1 + F.size(F.filter(changes, lambda c: c))
+            return let(F.struct(distinct.alias("d"), (distinct / runs).alias("r"), F.size(filled).alias("f")), fits)
+
+        def fits(x: Column) -> Column:
+            ok = (x["f"] * 2 >= n) & (x["d"] >= 2) & (x["d"] * 2 <= n) & (x["r"] >= 0.8)
+            return F.when(ok, F.struct((x["r"] * (1 - x["d"] / n)).alias("score"), (-j).alias("minus")))
+
+        return let(F.transform(cells, lambda r: F.coalesce(F.get(r, j), F.lit(""))), score)
+
+    widest = F.array_max(F.transform(cells, lambda r: F.size(r)))
+    best = F.array_max(F.transform(F.sequence(F.lit(0), widest - 1), scored))
+    return F.when(n >= 4, F.coalesce(-best["minus"], F.lit(-1))).otherwise(-1)
+
+
+# The wording of a table's overview.
+OVERVIEW = ("表格概览：共 ", " 行数据、", " 列。", "列名：", "。", "「", "」取值：", "」数值区间 ", " ~ ")
+
+
+def overview_text(header: Column, cells: Column) -> Column:
+    """A table's size, its columns' names, and for each column its values if they are few, else its range if it holds numbers; null
+    for tables of less than four rows. As :func:`overview`, for a table within one row."""
+    about, of_rows, of_columns, names, stop, before, values_are, range_is, to = map(F.lit, OVERVIEW)
+    n = F.size(cells)
+    named = F.filter(header, lambda h: h != "")
+
+    def column(j: Column) -> Column:
+        label = F.when(F.get(header, j) == "", F.concat(F.lit("第"), (j + 1).cast("string"), F.lit("列"))).otherwise(F.get(header, j))
+
+        def described(values: Column) -> Column:
+            distinct = F.array_distinct(values)
+            numbers = F.filter(F.transform(values, number_of), lambda x: x.isNotNull())
+            span = F.concat(before, label, range_is, plain_number(F.array_min(numbers)), to, plain_number(F.array_max(numbers)), stop)
+            few = F.size(distinct) <= F.least(F.lit(float(MOST_LISTED)), n / 2)
+            listed = F.concat(before, label, values_are, F.array_join(distinct, "、"), stop)
+            return F.when(F.size(values) == 0, None).when(few, listed).when(F.size(numbers) >= F.size(values) * 0.8, span)
+
+        return let(F.filter(F.transform(cells, lambda r: F.coalesce(F.get(r, j), F.lit(""))), lambda v: v != ""), described)
+
+    first = F.concat(about, n.cast("string"), of_rows, F.size(named).cast("string"), of_columns)
+    second = F.when(F.size(named) > 0, F.concat(names, F.array_join(named, " | "), stop))
+    lines = F.array_compact(F.concat(F.array(first, second), F.transform(F.sequence(F.lit(0), F.size(header) - 1), column)))
+    return F.when((n >= 4) & (F.size(lines) > 1), F.array_join(lines, "\n"))
 
 
 def clean_grid(rows: Column) -> Column:
@@ -122,19 +183,26 @@ def clean_grid(rows: Column) -> Column:
 
 
 def pack_rows(rows: Column, groups: Column | None, header: Column, target: int, most: int) -> Column:
-    """Packs of row lines (array<string>), each under ``header``. With ``groups`` (a value per row) a pack ends where the value
-    changes or ``most`` would be passed; without, where ``most`` would be passed or ``target`` is reached. A pack holds a row at
-    least."""
-    zipped = F.arrays_zip(rows.alias("line"), (groups if groups is not None else F.transform(rows, lambda r: F.lit(""))).alias("group"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit("").alias("group"))
+    """Packs of row lines (array<string>), each under ``header``. With ``groups`` (a value per row, or null for none) a pack ends
+    where the value changes or ``most`` would be passed; without, where ``most`` would be passed or ``target`` is reached. A pack
+    holds a row at least."""
+    none = F.lit(None).cast("array<string>")
+    zipped = F.arrays_zip(rows.alias("line"), F.coalesce(groups if groups is not None else none, F.transform(rows, lambda r: F.lit(None).cast("string"))).alias("group"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(None).cast("string").alias("group"))
+
+    def under(lines: Column) -> Column:
+        return estimate_tokens(F.concat(header, F.lit("\n"), lines))
 
     def step(s: Column, x: Column) -> Column:
         joined = F.concat(s["now"], F.lit("\n"), x["line"])
-        over = estimate_tokens(F.concat(header, F.lit("\n"), joined)) > most
-        ends = over | (x["group"] != s["group"]) if groups is not None else over | (estimate_tokens(s["now"]) >= target)
-        ends = ends & (s["now"] != "")
-        done = F.when(ends, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-        return F.struct(done.alias("done"), F.when(ends | (s["now"] == ""), x["line"]).otherwise(joined).alias("now"), x["group"].alias("group"))
+        full = F.when(x["group"].isNull(), under(s["now"]) >= target).otherwise(x["group"] != s["group"])
+        ends = (s["now"] != "") & (full | (under(joined) > most))
+
+        def taken(ended: Column) -> Column:
+            done = F.when(ended, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+            return F.struct(done.alias("done"), F.when(ended | (s["now"] == ""), x["line"]).otherwise(joined).alias("now"), x["group"].alias("group"))
+
+        return let(ends, taken)
 
     packs = F.aggregate(zipped, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
     return F.transform(packs, lambda p: F.concat(header, F.lit("\n"), p))

@@ -82,48 +82,49 @@ def table_row_pack(t: Tables):
 
 
 def markdown(t: Tables) -> DataFrame:
-    """(doc_id, text): each document's lines under headings: a chapter per five lines, a section per two."""
+    """(doc_id, text): each document's lines under headings: a chapter per nine lines, a section per three, so that short documents
+    have one chapter with sections and are cut at these."""
     line = F.posexplode(F.split("text", "\n")).alias("n", "line")
     rows = t.documents.select("doc_id", "source", "lang", line)
-    head = F.when(F.col("n") % 5 == 0, F.concat(F.lit("# Chapter "), (F.col("n") / 5 + 1).cast("int").cast("string"), F.lit("\n\n"))).when(F.col("n") % 5 == 3, F.lit("## Section\n\n")).otherwise("")
+    head = F.when(F.col("n") % 9 == 0, F.concat(F.lit("# Chapter "), (F.col("n") / 9 + 1).cast("int").cast("string"), F.lit("\n\n"))).when(F.col("n") % 3 == 2, F.lit("## Section\n\n")).otherwise("")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(head, "line").alias("s")))), lambda x: x["s"])
     return rows.groupBy("doc_id").agg(F.array_join(lines, "\n\n").alias("text"))
 
 
 MD = """src AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS n, unnest(string_split(text, chr(10))) AS line FROM documents),
-md AS (SELECT doc_id, string_agg(CASE WHEN n % 5 = 0 THEN '# Chapter ' || CAST(n // 5 + 1 AS VARCHAR) || chr(10) || chr(10) WHEN n % 5 = 3 THEN '## Section' || chr(10) || chr(10) ELSE '' END || line, chr(10) || chr(10) ORDER BY n) AS text FROM src GROUP BY 1),
+md AS (SELECT doc_id, string_agg(CASE WHEN n % 9 = 0 THEN '# Chapter ' || CAST(n // 9 + 1 AS VARCHAR) || chr(10) || chr(10) WHEN n % 3 = 2 THEN '## Section' || chr(10) || chr(10) ELSE '' END || line, chr(10) || chr(10) ORDER BY n) AS text FROM src GROUP BY 1),
 lines AS (SELECT doc_id AS id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line FROM md),
 heads AS (SELECT id, line_no, CAST(length(regexp_extract(line, '^(#{1,6})\\s+(.*\\S)\\s*$', 1)) AS INTEGER) AS level, regexp_extract(line, '^(#{1,6})\\s+(.*\\S)\\s*$', 2) AS title FROM lines WHERE regexp_matches(line, '^(#{1,6})\\s+(.*\\S)\\s*$')),
 lev AS (SELECT id, level, count(*) AS n FROM heads GROUP BY 1, 2), split AS (SELECT id, coalesce(min(level) FILTER (WHERE n >= 2), min(level)) AS split_level FROM lev GROUP BY 1),
-cuts AS (SELECT h.* FROM heads h JOIN split USING (id) WHERE level <= split_level),
+cuts AS (SELECT h.* FROM heads h JOIN split USING (id) WHERE level = split_level),
 paged AS (SELECT l.id, l.line_no, l.line, c.title, greatest(sum(CASE WHEN c.title IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY l.id ORDER BY l.line_no), 1) AS page FROM lines l LEFT JOIN cuts c ON c.id = l.id AND c.line_no = l.line_no),
 pages AS (SELECT id, CAST(page AS BIGINT) AS page_index, coalesce(first(title ORDER BY line_no) FILTER (WHERE title IS NOT NULL), '全文') AS title, regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\\s+|\\s+$', '', 'g') AS content FROM paged GROUP BY 1, 2)"""
 
 
 def pages(t: Tables) -> DataFrame:
-    lines = B.lines_of(markdown(t), "doc_id", "text")
-    return P.cut_pages(lines, B.headings(lines))
+    docs = markdown(t)
+    return P.cut_pages(B.lines_of(docs, "doc_id", "text"), B.headings(docs))
 
 
 @query(f"WITH {MD} SELECT id, line_no, level, title FROM heads")
 def heading_scan(t: Tables):
-    return B.headings(B.lines_of(markdown(t), "doc_id", "text"))
+    return B.headings(markdown(t))
 
 
 @query(f"WITH {MD} SELECT h.id, h.line_no, CASE WHEN level = 1 THEN title ELSE (SELECT max_by(g.title, g.line_no) FROM heads g WHERE g.id = h.id AND g.level = 1 AND g.line_no < h.line_no) || ' > ' || title END AS path FROM heads h")
 def heading_path(t: Tables):
-    found = B.heading_paths(B.headings(B.lines_of(markdown(t), "doc_id", "text")))
+    found = B.heading_paths(B.headings(markdown(t)))
     return found.select("id", "line_no", F.array_join("path", " > ").alias("path"))
 
 
 @query(f"WITH {MD} SELECT level, count(*) AS n FROM heads GROUP BY 1")
 def heading_histogram(t: Tables):
-    return B.headings(B.lines_of(markdown(t), "doc_id", "text")).groupBy("level").agg(F.count("*").alias("n"))
+    return B.headings(markdown(t)).groupBy("level").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {MD} SELECT id, split_level FROM split")
 def split_level(t: Tables):
-    return P.split_levels(B.headings(B.lines_of(markdown(t), "doc_id", "text")))
+    return P.split_levels(B.headings(markdown(t)))
 
 
 @query(f"WITH {MD} SELECT id, page_index, title, content FROM pages WHERE content <> ''")
