@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -12,12 +14,13 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """A vector over its length, as doubles; unit vectors make cosine one dot product."""
-    return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
+    """A vector over its length, as doubles; unit vectors make cosine one dot product. Of a vector of zeros all stay 0."""
+    return let(F.sqrt(dot(v, v)), lambda length: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), length), F.lit(0.0))))
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    """0 where either is all zeros."""
+    return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
 def parse(text: Column) -> Column:

@@ -11,6 +11,7 @@ from ..functions import text as T
 def span_hits(cases: DataFrame, hits: DataFrame) -> DataFrame:
     """(case_id, span, found): whether any hit of a case holds each of its spans. cases (case_id, spans), hits (case_id, content)."""
     spans = cases.select("case_id", F.explode("spans").alias("span"))
+    hits = hits.withColumn("content", T.normalise(F.col("content")))  # once per hit, not once per span
     met = spans.join(hits, "case_id", "left").select("case_id", "span", F.coalesce(T.covers(F.col("content"), F.col("span")), F.lit(False)).alias("found"))
     return met.groupBy("case_id", "span").agg(F.bool_or("found").alias("found"))
 

@@ -6,6 +6,8 @@ a scope. Scores are rounded before they rank, and every order ends in an id, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,6 @@ from ..functions import vectors as V
 
 K1, B = 1.2, 0.75
 RRF = 60
-#: Rows of a query side that may be broadcast; more are joined by shuffle.
-MOST_BROADCAST = 100_000
-
-
-def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows, counted up to there only."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,11 +56,11 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", scope: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best documents that hold any term; of the ids in ``scope`` if given."""
     tokens = tokenised(docs, id_col, text_col)
-    terms = small(query_terms(queries))
+    terms = query_terms(queries)
     # only the terms that are asked for are counted, and an empty one that stands once in every document, for the statistics
     asked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
     held = tokens.select("id", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
-    posts = held.join(small(asked), "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    posts = held.join(asked, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
     # all three read tf, so that they share one scan and one shuffle
     every = (F.col("term") == "") & (F.col("tf") > 0)
     stats = posts.agg(F.count_if(every).alias("n_docs"), F.coalesce(F.avg(F.when(every & (F.col("length") > 0), F.col("length"))), F.lit(0.0)).alias("avg_length"))
@@ -90,8 +85,9 @@ def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str
     if scope is not None:
         rows = rows.join(scope.select(F.col(scope.columns[0]).alias(id_col)), id_col, "left_semi")
     rows = rows.select(F.col(id_col).alias("id"), V.unit(F.col(vector_col)).alias("v"))
-    asked = queries.select("query_id", V.unit(F.col("vector")).alias("q"))
-    scores = rows.crossJoin(small(asked)).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
+    asked = queries.where("vector IS NOT NULL").select("query_id", V.unit(F.col("vector")).alias("q"))
+    # Spark broadcasts the queries if they are small, else it takes the two sides' partitions pair by pair
+    scores = rows.crossJoin(asked).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
     return top(scores, k)
 
 
@@ -138,32 +134,62 @@ def lexical_guard(core: DataFrame, keyword: DataFrame, k: int, n: int) -> DataFr
 
 def expand_neighbours(core: DataFrame, chain: DataFrame, hops: int) -> DataFrame:
     """Hits and the chunks up to ``hops`` places before and after them in ``chain`` (id, doc, position), unseen ones only:
-    core first, then by hop, by the core hit's rank, before then after. (query_id, id, via, rank)"""
-    placed = core.join(chain, "id").select("query_id", "id", "rank", "doc", "position")
-    steps = [(h, d) for h in range(1, hops + 1) for d in (-1, 1)]
-    kept = core.select("query_id", "id", F.lit(None).cast("string").alias("via"), F.lit(0).alias("hop"), F.col("rank").alias("core_rank"), F.lit(0).alias("side"))
-    if steps:
-        step = F.explode(F.array(*[F.struct(F.lit(h).alias("hop"), F.lit(d).alias("side")) for h, d in steps])).alias("step")
-        wanted = placed.select("query_id", "rank", "doc", "position", step)
-        wanted = wanted.select("query_id", "doc", (F.col("position") + F.col("step.hop") * F.col("step.side")).alias("position"), "step.hop", F.col("rank").alias("core_rank"), "step.side")
-        near = wanted.join(chain, ["doc", "position"]).groupBy("query_id", "id").agg(F.min(F.struct("hop", "core_rank", "side")).alias("at"))
-        near = near.join(core, ["query_id", "id"], "left_anti").select("query_id", "id", F.lit("neighbor").alias("via"), "at.*")
-        kept = kept.unionByName(near)
-    order = Window.partitionBy("query_id").orderBy("hop", "core_rank", "side", "id")
-    return kept.withColumn("rank", F.row_number().over(order)).select("query_id", "id", "via", "rank")
-
-
-def retrieve(docs: DataFrame, vectors: DataFrame, queries: DataFrame, *, k: int = 5, pool: int = 20, hops: int = 1, guard: int = 2, chain: DataFrame | None = None) -> DataFrame:
-    """The whole ranking of (query_id, query, vector): both pools, fusion, guard and neighbours. (query_id, id, via, rank)"""
-    keyword = keyword_search(docs, queries, max(pool, guard))
-    fused = fuse(vector_search(vectors, queries, pool), keyword.where(F.col("rank") <= pool), pool)
-    core = fused.where(F.col("rank") <= k)
-    hits = lexical_guard(core, keyword.where(F.col("rank") <= guard), k, guard)
-    if chain is None:
-        return hits.select("query_id", "id", "via", "rank")
-    expanded = expand_neighbours(hits, chain, hops)
-    tags = hits.select("query_id", "id", F.col("via").alias("own"))
-    return expanded.join(tags, ["query_id", "id"], "left").select("query_id", "id", F.coalesce("own", "via").alias("via"), "rank")
+    core first, then by hop, by the core hit's rank, before then after. (query_id, id, via, rank); ``core`` may have a ``via``."""
+    own = F.col("via") if "via" in core.columns else F.lit(None).cast("string")
+    hits = core.select("query_id", "id", "rank", own.alias("own"))
+    steps = [(0, 0)] + [(h, d) for h in range(1, hops + 1) for d in (-1, 1)]
+    step = F.explode(F.array(*[F.struct(F.lit(h).alias("hop"), F.lit(d).alias("side")) for h, d in steps])).alias("step")
+    placed = hits.join(chain, "id", "left").select("query_id", "id", "rank", "own", "doc", "position", step)
+    wanted = placed.select("query_id", "id", "rank", "own", "doc", (F.col("position") + F.col("step.hop") * F.col("step.side")).alias("position"), "step.hop", "step.side")
+    met = wanted.join(chain.select(F.col("id").alias("near"), "doc", "position"), ["doc", "position"], "left")
+    met = met.select("query_id", F.when(F.col("hop") == 0, F.col("id")).otherwise(F.col("near")).alias("id"), "own", F.struct("hop", "rank", "side").alias("at")).where("id IS NOT NULL")
+    found = met.groupBy("query_id", "id").agg(F.min("at").alias("at"), F.max(F.when(F.col("at.hop") == 0, F.col("own"))).alias("own"))
+    order = Window.partitionBy("query_id").orderBy("at", "id")
+    return found.select("query_id", "id", F.when(F.col("at.hop") > 0, "neighbor").otherwise(F.col("own")).alias("via"), F.row_number().over(order).alias("rank"))
+
+
+def retrieve(
+    docs: DataFrame,
+    vectors: DataFrame,
+    queries: DataFrame,
+    *,
+    k: int = 5,
+    pool: int = 20,
+    hops: int = 1,
+    guard: int = 2,
+    chain: DataFrame | None = None,
+    scope: DataFrame | None = None,
+    rerank: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """The whole ranking of (query_id, query, vector), of the ids in ``scope`` if given: both pools, fusion, guard and neighbours.
+    (query_id, id, via, rank)
+
+    ``rerank`` gives candidates (query_id, id, place) a ``score`` of their own: the pool and the leading keyword hits are then ranked
+    by it together, guarded hits among them. Each search is made once; what follows are windows over its few rows per query.
+    """
+    keyword = keyword_search(docs, queries, max(pool, guard), scope=scope).select("query_id", "id", F.col("rank").alias("rank_k"))
+    vector = vector_search(vectors, queries, pool, scope=scope).select("query_id", "id", F.col("rank").alias("rank_v"))
+    both = vector.join(keyword, ["query_id", "id"], "full_outer")
+    rank_k = F.when(F.col("rank_k") <= pool, F.col("rank_k"))
+    score = F.coalesce(1 / (RRF + F.col("rank_v")), F.lit(0.0)) + F.coalesce(1 / (RRF + rank_k), F.lit(0.0))
+    of_query = Window.partitionBy("query_id")
+    fused = of_query.orderBy(F.desc("score"), F.col("rank_v").asc_nulls_last(), F.col("rank_k").asc_nulls_last(), "id")
+    hits = both.withColumn("score", F.round(score, 9)).withColumn("place", F.row_number().over(fused))
+    hits = hits.withColumn("guarded", F.coalesce(F.col("rank_k") <= guard, F.lit(False))).where((F.col("place") <= pool) | F.col("guarded"))
+    by = F.col("rank_k")
+    if rerank is not None:
+        scored = rerank(hits.select("query_id", "id", F.row_number().over(of_query.orderBy("place")).alias("place"), "guarded"))
+        hits = scored.withColumn("place", F.row_number().over(of_query.orderBy(F.desc("score"), "place")))
+        by = F.col("place")
+    most = min(guard, max(1, k // 3)) if guard > 0 and k > 0 else 0
+    core = F.col("place") <= k
+    nth = F.sum((F.col("guarded") & ~core).cast("int")).over(of_query.orderBy(by.asc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0))
+    hits = hits.withColumn("added", F.col("guarded") & ~core & (nth <= most)).withColumn("nth", nth)
+    n_added = F.sum(F.col("added").cast("int")).over(of_query)
+    kept = hits.withColumn("n_added", n_added).where(F.col("added") | (F.col("place") <= F.lit(k) - F.col("n_added")))
+    last = of_query.orderBy("added", F.when(F.col("added"), F.col("nth")).otherwise(F.col("place"))) if rerank is None else of_query.orderBy(F.desc("score"), "place")
+    found = kept.select("query_id", "id", F.when(F.col("added"), "lexguard").alias("via"), F.row_number().over(last).alias("rank"))
+    return found if chain is None else expand_neighbours(found, chain, hops)
 
 
 def in_order(ids: DataFrame, rows: DataFrame, on: str) -> DataFrame:
