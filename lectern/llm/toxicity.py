@@ -3,12 +3,12 @@
 1. A lexicon is mined from labelled documents that aren't held out: words and word heads that stand far more often in documents
    marked toxic. Aggregation runs on Spark; the strongest ``MOST_TERMS`` terms come to the driver.
 2. Voters look at a text and say toxic, clean or nothing: shards of the lexicon by kind and strength, patterns (several hits,
-   density, shouting, clean at length), and, on training rows only, the given label itself.
+   density, shouting, clean at length). Verdicts that the training labels contradict often are left out; the labels cast no vote.
 3. A generative model (expectation maximisation over votes that are independent given the class) estimates each voter's
    accuracy. Voters that go together beyond that, by their residual correlations, share their weight.
 4. A logistic regression on hit counts is trained on the posterior labels. It alone scores documents, where they lie.
 
-At most ``MOST_TRAINING`` labelled documents, the first by hash of their ids, are used in 1 to 4. A score looks at the text alone.
+At most ``MOST_TRAINING`` labelled documents, the first by hash of their ids, are used in 1 to 4, and ``MOST_TERMS`` bounds the model. A score looks at the text alone.
 
 Defined cases: null and empty texts have no hit and score as such; null labels and documents without one don't train; a null id
 is held out; repeated rows score alike; with no label or one class only the score is the class's share; an empty table gives an
@@ -131,12 +131,18 @@ def votes_of(x: np.ndarray) -> np.ndarray:
     return np.stack(voters, 1).astype(np.int64)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, together: float = 0.4, given: float = 0.98) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def kept_voters(votes: np.ndarray, y: np.ndarray, least: float = 0.8) -> np.ndarray:
+    """Votes without the verdicts that the labels of the training rows contradict more often than ``1 - least``: this is all that the
+    labels tell the label model, and says which class is which."""
+    right = [((votes == v) & (y == v)[:, None]).sum(0) >= least * (votes == v).sum(0) for v in (0, 1)]
+    return np.where(((votes == 0) & right[0]) | ((votes == 1) & right[1]), votes, NONE)
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, together: float = 0.4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of class 1 for each row, each voter's accuracy, and the voters' correlations beyond the class.
 
-    ``start`` is a first guess of the posteriors. Between rounds, voters whose residuals correlate by more than ``together``
-    form groups; a group's voters each count by one over its effective size. The last voter is the label that people gave: its
-    accuracy isn't estimated but ``given``, which ties class 1 to what they mean by it.
+    ``start`` is a first guess of the posteriors, which says which class is 1. Between rounds, voters whose residuals correlate by
+    more than ``together`` form groups; a group's voters each count by one over its effective size.
     """
     n, m = votes.shape
     seen = np.stack([votes == v for v in (NONE, 0, 1)], 2).astype(float)  # rows, voters, outcomes
@@ -145,7 +151,6 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, together
     for step in range(rounds):
         for y, p in enumerate((1 - posterior, posterior)):
             table[y] = (np.einsum("i,ijk->jk", p, seen) + 1) / (p.sum() + 3)
-            table[y, -1] = [0.5, 0.5 * (1 - given), 0.5 * given] if y else [0.5, 0.5 * given, 0.5 * (1 - given)]
         prior = (posterior.sum() + 1) / (n + 2)
         odds = np.einsum("ijk,jk->ij", seen, np.log(table[1]) - np.log(table[0])) @ weight + np.log(prior / (1 - prior))
         posterior = 1 / (1 + np.exp(-odds.clip(-30, 30)))
@@ -158,7 +163,6 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30, together
             near = np.clip(np.where(np.abs(correlations) > together, np.abs(correlations), 0), 0, 1)
             np.fill_diagonal(near, 1)
             weight = 1 / near.sum(0)
-            weight[-1] = 1.0
     accuracy = (table[1, :, 2] * prior + table[0, :, 1] * (1 - prior)) / np.maximum(1 - table[0, :, 0] * (1 - prior) - table[1, :, 0] * prior, 1e-9)
     return posterior, accuracy, correlations
 
@@ -208,9 +212,9 @@ def fit_table(x: np.ndarray, y: np.ndarray) -> Linear:
     if not len(x) or y.min() == y.max():
         share = (y.sum() + 0.5) / (len(y) + 1)
         return Linear(np.zeros(features_of(x).shape[1]), float(np.log(share / (1 - share))))
-    votes = np.concatenate((votes_of(x), y.astype(np.int64)[:, None]), 1)  # the label votes too
-    majority = ((votes == 1).sum(1) + 0.5) / ((votes != NONE).sum(1) + 1)
-    posterior, _, _ = label_model(votes, (majority + y) / 2)
+    votes = kept_voters(votes_of(x), y)
+    start = ((votes == 1).sum(1) + 0.5) / ((votes != NONE).sum(1) + 1)
+    posterior, _, _ = label_model(votes, start)
     return train_linear(features_of(x), posterior)
 
 
