@@ -41,7 +41,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sketch.fingerprints(documents(spark, sf_dir))
     digest = sketch.digest
     return out.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("sketch")).alias("fingerprint"), digest(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next"
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest(F.col("sketch")).alias("fingerprint"), digest(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", "in_next", "distinct_shingles"
     )
 
 

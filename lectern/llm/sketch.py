@@ -79,13 +79,21 @@ def distinct_estimate(a: Column, k: int = K) -> Column:
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
     """Estimated share of a's shingles that b holds too."""
-    common = resemblance(a, b, k) * distinct_estimate(merged(a, b, k), k)
+    common = resemblance(a, b, k) * let(merged(a, b, k), lambda both: distinct_estimate(both, k))
     return F.least(F.lit(1.0), F.when(F.size(a) == 0, 1.0).otherwise(common / distinct_estimate(a, k)))
 
 
 def digest(a: Column) -> Column:
-    """A sketch as a string: the upper half of each hash, in hexadecimal."""
-    return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(F.shiftrightunsigned(h, 32)), 8, "0"))), "")
+    """A sketch as a string that holds it whole: each hash in 16 hexadecimal digits."""
+    return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
+
+
+def undigested(text: Column) -> Column:
+    """The sketch that :func:`digest` wrote, to be merged or compared."""
+    halves = F.regexp_extract_all(text, F.lit("[0-9a-f]{8}"), F.lit(0))
+    whole = F.sequence(F.lit(0), F.floor(F.size(halves) / 2).cast("int") - 1)
+    read = F.transform(whole, lambda i: F.shiftleft(F.conv(F.get(halves, 2 * i), 16, 10).cast("long"), 32).bitwiseOR(F.conv(F.get(halves, 2 * i + 1), 16, 10).cast("long")))
+    return F.when(text == "", F.array().cast("array<bigint>")).otherwise(read)
 
 
 def _block(doc_id: Column, cuts: list[int]) -> list[tuple[str, Column]]:
@@ -129,7 +137,8 @@ def with_next(rows: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """(doc_id, n_chars, edited, sketch, edited_sketch, near_edited, near_next) of every document.
+    """(doc_id, n_chars, edited, sketch, edited_sketch, near_edited, near_next, in_next, distinct_shingles) of every document;
+    ``in_next`` is the estimated share of its shingles that the next one holds too.
 
     ``edited`` is the text with its last quarter replaced by as many characters from the head of the next document, or by all.
     """
@@ -142,5 +151,6 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select("doc_id", n_chars.alias("n_chars"), edited.alias("edited"), "sketch", F.col("next.sketch").alias("next_sketch"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), k))
     return rows.select(
-        "doc_id", "n_chars", "edited", "sketch", "edited_sketch", resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next")
-    )
+        "doc_id", "n_chars", "edited", "sketch", "edited_sketch", resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"),
+        containment(F.col("sketch"), F.col("next_sketch"), k).alias("in_next"), distinct_estimate(F.col("sketch"), k).alias("distinct_shingles"),
+    )

@@ -60,3 +60,17 @@ def test_ties_and_empty(docs):
     assert rows[0].edited == "onlo"
     rows = sketch.fingerprints(docs(["same text", "same text"], ids=[1, 1])).collect()
     assert len(rows) == 2
+
+
+def test_digests_are_whole(docs):
+    """A sketch read back from its digest is the sketch, so digests can be merged later."""
+    frame = docs(["a b c d e f g h", "", None, " ".join(f"w{i}" for i in range(900))])
+    both = frame.select(sketch.sketch(F.coalesce("text", F.lit(""))).alias("s")).select("s", sketch.undigested(sketch.digest(F.col("s"))).alias("again")).collect()
+    assert all(r.s == r.again for r in both) and len(both[3].s) == sketch.K and min(both[3].s) < 0
+
+
+def test_next_columns(docs):
+    """A document within the next one is contained there, and short ones have their shingles counted exactly."""
+    head = " ".join(f"w{i}" for i in range(40))
+    rows = {r.doc_id: r for r in sketch.fingerprints(docs([head, head + " " + " ".join(f"x{i}" for i in range(40)), ""])).collect()}
+    assert rows[0].in_next == 1.0 and rows[0].near_next < 0.6 and rows[0].distinct_shingles == 36 and rows[1].distinct_shingles == 76 and rows[2].distinct_shingles == 0
