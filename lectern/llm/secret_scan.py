@@ -24,7 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import let, materialise
 
 
 @dataclass(frozen=True)
@@ -119,8 +119,8 @@ def trigram_queries(pattern: str) -> list[Query]:
 def index(docs: DataFrame, text: Column, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, trigram): the documents, by the key column ``key`` of ``docs``, that hold each trigram which the rules ask for."""
     wanted = sorted({t for r in rules for q in trigram_queries(r.pattern) for ask in q for t in ask})
-    low = F.lower(text)
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted]))
+    every = F.array(*map(F.lit, wanted))
+    held = let(F.lower(text), lambda low: F.filter(every, lambda t: F.contains(low, t)))
     return docs.select("key", F.explode(held).alias("trigram"))
 
 
