@@ -12,8 +12,9 @@ if it lies in such a run.
    their union. A run of L lines is named by the ranks of its first and its last 2^j lines, 2^j <= L < 2^(j+1); runs of one name
    are an interval of common prefix L, and all but the first in corpus order are deleted.
 
-Distinct pairs and names are counted before they are shuffled and joined back, so a line or run that a third of all documents
-hold is never one group. Line ids are 64-bit hashes of lines without the white space around them.
+Distinct lines, pairs and names are aggregated before they are shuffled, and joined back from tables of one row each, where Spark
+splits the rows of one that a third of all documents hold. Lines without the white space around them are told apart by two hashes,
+96 bits in all. Runs of L lines are named by the ranks of their ends in place of intervals of a suffix array kept whole.
 
 Defined cases: null and empty texts have no line and stay as they are; lines without a word are never deleted or counted; rows
 that repeat both id and text are one document; documents that share an id are ordered by their texts' hashes; null ids come
@@ -49,7 +50,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(doc.alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     trimmed = F.btrim("line", F.lit(" \t\r\x0b\f"))
     words = F.regexp_count("line", F.lit(WORD))
-    return rows.select("doc", "line_no", F.xxhash64(trimmed).alias("line"), words.cast("long").alias("words")).where("words > 0")
+    return rows.select("doc", "line_no", F.struct(F.xxhash64(trimmed).alias("a"), F.hash(trimmed).alias("b")).alias("line"), words.cast("long").alias("words")).where("words > 0")
 
 
 def ranked_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, int]:
@@ -74,7 +75,11 @@ def ranked_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         paired = lines.withColumn("a", F.element_at("ranks", level + 1)).withColumn("b", second)
         pairs = paired.where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").count().where("count > 1").select("a", "b")
         ordered = _sorted_ranks(pairs, ["a", "b"])
-        lines = paired.join(ordered, ["a", "b"], "left").select("doc", "line_no", "at", "words", F.concat("ranks", F.array("rank")).alias("ranks"))
+        # places without a pair stay out of the join, where they would be one group
+        has = F.col("a").isNotNull() & F.col("b").isNotNull()
+        ranked = paired.where(has).join(ordered, ["a", "b"], "left").select(*lines.columns, "rank")
+        ranked = ranked.unionByName(paired.where(~has).select(*lines.columns, F.lit(None).cast(ordered.schema["rank"].dataType).alias("rank")))
+        lines = ranked.select("doc", "line_no", "at", "words", F.concat("ranks", F.array("rank")).alias("ranks"))
         lines, level = materialise(lines, "lines-ranked"), level + 1
     return lines, level + 1
 
@@ -86,7 +91,8 @@ def repeated_runs(lines: DataFrame, levels: int, min_words: int = MIN_WORDS) ->
     upto = F.sum("words").over(inside.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     lines = lines.withColumn("stretch", stretch).withColumn("upto", upto).withColumn("before", upto - F.col("words"))
     whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = F.first("at").over(inside.orderBy("before").rangeBetween(min_words, Window.unboundedFollowing))
+    # the other way round, as frames that start at the first row are the ones that grow row by row
+    after = F.last("at").over(inside.orderBy(F.desc("before")).rangeBetween(Window.unboundedPreceding, -min_words))
     end = F.coalesce(after, F.when(F.max("upto").over(whole) - F.col("before") >= min_words, F.max("at").over(whole) + 1))
     ahead = F.last("at").over(inside.orderBy("upto").rangeBetween(Window.unboundedPreceding, -min_words))
     start = F.coalesce(ahead + 1, F.when(F.col("upto") >= min_words, F.min("at").over(whole)))
@@ -103,6 +109,7 @@ def repeated_runs(lines: DataFrame, levels: int, min_words: int = MIN_WORDS) ->
     runs = materialise(runs.select("doc", "at", "length", "a", "b"), "line-runs")
     name, place = ["length", "a", "b"], F.struct("doc", "at")
     firsts = runs.groupBy(*name).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
+    firsts = materialise(firsts, "line-firsts")  # apart from the join, so that Spark may split the rows of a name that many share
     return runs.join(firsts, name).where(place != F.col("first")).select("doc", "at", "length")
 
 
