@@ -127,8 +127,21 @@ def document_markdown(content: bytes, path: str) -> str:
     return "\n\n".join(x for x in out if x)
 
 
+def _notes(z: zipfile.ZipFile, slide: str) -> str:
+    """What the speaker notes of a slide say."""
+    links = slide.replace("slides/", "slides/_rels/") + ".rels"
+    if links not in z.namelist():
+        return ""
+    found = [r.get("Target") for r in ElementTree.fromstring(z.read(links)) if "notesSlide" in (r.get("Type") or "")]
+    if not found:
+        return ""
+    root = ElementTree.fromstring(z.read("ppt/notesSlides/" + found[0].rpartition("/")[2]))
+    bodies = [s for s in root.iter() if _local(s.tag) == "sp" and _attribute(next((x for x in s.iter() if _local(x.tag) == "ph"), None), "type") == "body"]
+    return "\n".join(_text(p) for s in bodies for p in s.iter() if _local(p.tag) == "p").strip()
+
+
 def slides_markdown(content: bytes, path: str) -> str:
-    """Slides in order: title or number, indented text, tables."""
+    """Slides in order: title or number, indented text, tables, speaker notes."""
     out = []
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
@@ -147,11 +160,67 @@ def slides_markdown(content: bytes, path: str) -> str:
                         else:
                             level = _attribute(next((s for s in p if _local(s.tag) == "pPr"), None), "lvl") or "0"
                             lines.append("  " * int(level) + "- " + text)
-            out.append("\n".join([f"## {title}", *lines]))
+            notes = _notes(z, name)
+            out.append("\n".join([f"## {title}", *lines, *([f"> 备注：{notes}"] if notes else [])]))
+    return "\n\n".join(out)
+
+
+def _place(reference: str) -> tuple[int, int]:
+    """(row, column) from 0 of a cell such as AB12."""
+    letters, digits = re.fullmatch(r"([A-Z]+)(\d+)", reference.replace("$", "")).groups()
+    column = 0
+    for c in letters:
+        column = column * 26 + ord(c) - 64
+    return int(digits) - 1, column - 1
+
+
+def _sheet_grid(sheet: ElementTree.Element, shared: list[str]) -> list[list[object]]:
+    """A sheet's cells; the value of merged cells stands in each of them, and a formula where no result was stored."""
+    held: dict[tuple[int, int], object] = {}
+    for cell in (x for x in sheet.iter() if _local(x.tag) == "c"):
+        inner = {_local(x.tag): x for x in cell}
+        kind, value = cell.get("t"), inner["v"].text if "v" in inner else None
+        if kind == "inlineStr":
+            value = _text(inner["is"]) if "is" in inner else None
+        elif kind == "s" and value is not None:
+            value = shared[int(value)]
+        elif kind == "b" and value is not None:
+            value = "True" if value == "1" else "False"
+        elif kind in (None, "n") and value is not None:
+            value = float(value)
+        if value is None and "f" in inner and inner["f"].text:
+            value = "=" + inner["f"].text
+        if value is not None and cell.get("r"):
+            held[_place(cell.get("r"))] = value
+    for merged in (x for x in sheet.iter() if _local(x.tag) == "mergeCell"):
+        (top, left), (bottom, right) = map(_place, merged.get("ref").split(":"))
+        if (top, left) in held:
+            held |= {(r, c): held[top, left] for r in range(top, bottom + 1) for c in range(left, right + 1)}
+    rows: dict[int, dict[int, object]] = {}
+    for (r, c), value in held.items():
+        rows.setdefault(r, {})[c] = value
+    # blank rows and columns would go anyway
+    columns = sorted({c for _, c in held})
+    return [[row.get(c) for c in columns] for _, row in sorted(rows.items())]
+
+
+def workbook_markdown(content: bytes, path: str) -> str:
+    """Each sheet that isn't empty as a heading and a table, in the workbook's order."""
+    out = []
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = set(z.namelist())
+        shared = [_text(si) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"] if "xl/sharedStrings.xml" in names else []
+        targets = {_attribute(r, "Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in (x for x in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(x.tag) == "sheet"):
+            target = targets[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))]
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            table = grid_markdown(_sheet_grid(ElementTree.fromstring(z.read(part)), shared)) if part in names else ""
+            if table:
+                out.append(f"# {sheet.get('name')}\n\n{table}")
     return "\n\n".join(out)
 
 
-PARSERS: dict[str, Callable[[bytes, str], str]] = {"text": lambda c, p: decoded(c).replace("\r\n", "\n").replace("\r", "\n").strip(), "table": delimited_markdown, "document": document_markdown, "slides": slides_markdown}
+PARSERS: dict[str, Callable[[bytes, str], str]] = {"text": lambda c, p: decoded(c).replace("\r\n", "\n").replace("\r", "\n").strip(), "table": delimited_markdown, "workbook": workbook_markdown, "document": document_markdown, "slides": slides_markdown}
 
 
 def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes, str], str]] | None = None) -> DataFrame:
