@@ -84,9 +84,9 @@ def test_archives(spark):
 
 
 def test_lines_and_scans(spark):
-    assert files.merge_visual_lines(["The first line of a paragraph runs", "on here.", "- a bullet of its own stands apart.", "", "这是第一行文字内容相当长的一行没有句号", "接着写。"]) == [
-        "The first line of a paragraph runs on here.", "- a bullet of its own stands apart.", "这是第一行文字内容相当长的一行没有句号接着写。"
-    ]
+    merged = files.merge_visual_lines
+    assert merged(["The first line of a paragraph runs", "on here.", "- a bullet stands apart", ""]) == ["The first line of a paragraph runs on here.", "- a bullet stands apart"]
+    assert merged(["这是第一行文字没有句号", "接着写。", "下一段"]) == ["这是第一行文字没有句号接着写。", "下一段"]
     pages = spark.createDataFrame([("a", 1000, 0.0, 0.0, 0.1), ("b", 3, 0.0, 0.0, 0.0), ("c", 900, 0.0, 0.2, 0.0), ("d", 500, 0.0, 0.0, 0.9)], "doc string, chars long, junk double, cid double, unmapped double")
     assert {r.doc: r.scanned for r in files.looks_scanned(pages, "doc").collect()} == {"a": False, "b": True, "c": True, "d": True}
 
