@@ -40,7 +40,8 @@ def utf16_length(text: Column) -> Column:
 def estimate_tokens(text: Column) -> Column:
     """One token per CJK character, one per four other UTF-16 units, rounded up."""
     cjk = F.regexp_count(text, F.lit(f"[{CJK}]"))
-    return (cjk + F.ceil((utf16_length(text) - cjk) / 4)).cast("long")
+    plain = F.octet_length(text) == F.length(text)  # ASCII alone needs no count of others
+    return F.when(plain, F.ceil(F.length(text) / 4)).otherwise(cjk + F.ceil((utf16_length(text) - cjk) / 4)).cast("long")
 
 
 def truncate_utf16(text: Column, units: int) -> Column:

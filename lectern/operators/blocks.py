@@ -38,7 +38,8 @@ def segments(text: Column) -> Column:
     def segment(raw: Column) -> Column:
         line = F.regexp_extract(raw, rf"^({HEADING})\n?$", 1)
         title = trimmed(F.regexp_replace(line, "^#+", ""))
-        return F.struct(raw.alias("raw"), F.length(F.regexp_extract(line, "^#*", 0)).alias("level"), title.alias("title"))
+        head = F.struct(raw.alias("raw"), F.length(F.regexp_extract(line, "^#*", 0)).alias("level"), title.alias("title"))
+        return F.when(F.startswith(raw, F.lit("#")), head).otherwise(F.struct(raw.alias("raw"), F.lit(0).alias("level"), F.lit("").alias("title")))
 
     return F.transform(F.regexp_extract_all(lines_as_one(text), F.lit(SEGMENT), F.lit(0)), segment)
 
