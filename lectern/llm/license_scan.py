@@ -15,6 +15,7 @@ length are read whole; an empty table gives an empty result; other columns are l
 from __future__ import annotations
 
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,8 +54,9 @@ TEMPLATES = (
 
 
 def cleaned(text: Column) -> Column:
-    """The words of a text, each pair parted by one space."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), BREAKS, " "))
+    """The words of a text, A-Z in lower case, each pair parted by one space."""
+    low = F.translate(F.coalesce(text.cast("string"), F.lit("")), ascii_uppercase, ascii_lowercase)
+    return F.trim(F.regexp_replace(low, BREAKS, " "))
 
 
 def _spaces(x: Column) -> Column:
