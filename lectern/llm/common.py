@@ -17,9 +17,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where it is unset, one of our own if all run on this
+    machine, and an error if they don't."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lectern-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
