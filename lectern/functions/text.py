@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,9 +67,22 @@ def code_tokens(text: Column) -> Column:
     return F.when(text.isNull() | F.rlike(text, F.lit(r"\d")), held).otherwise(F.array().cast("array<string>"))
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and of digits, single CJK characters, and the codes once more (they then count twice)."""
+def custom_words(listed: str) -> list[str]:
+    """The words of a dictionary as one text, parted by commas and white space."""
+    return [w for w in re.split(r"[,，\s]+", listed) if w]
+
+
+def tokens(text: Column, words: Sequence[str] = ()) -> Column:
+    """Lower-case runs of letters and of digits, single CJK characters, and the codes once more (they then count twice). The
+    ``words`` of a dictionary stay whole where they stand, longer ones first, but not within a run of other letters; an index and its
+    queries must share them."""
     low = F.lower(text)
+    if words:
+        letter = rf"[\p{{L}}\p{{N}}&&[^{CJK}]]"
+        ends = [(re.escape(w.lower()), re.match(rf"[^\W{CJK}]", w), re.search(rf"[^\W{CJK}]$", w)) for w in sorted(set(words), key=lambda w: (-len(w), w))]
+        whole = "|".join(f"(?<!{letter}){w}" * bool(a) + w * (not a) + f"(?!{letter})" * bool(z) for w, a, z in ends)
+        own = F.regexp_extract_all(low, F.lit(rf"{whole}|[{CJK}]|[0-9]+|[\p{{L}}&&[^{CJK}]]+"), F.lit(0))
+        return F.concat(own, code_tokens(text))
     plain = F.regexp_extract_all(low, F.lit(r"[0-9]+|\p{L}+"), F.lit(0))
     mixed = F.regexp_extract_all(low, F.lit(rf"[{CJK}]|[0-9]+|[\p{{L}}&&[^{CJK}]]+"), F.lit(0))
     return F.concat(F.when(F.rlike(low, F.lit(f"[{CJK}]")), mixed).otherwise(plain), code_tokens(text))

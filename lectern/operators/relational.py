@@ -62,6 +62,16 @@ def partial_update(target: DataFrame, changes: DataFrame, key: str, columns: lis
     return rows.select(*[c for c in target.columns if c not in columns], *new).select(*target.columns)
 
 
+def update_where_exists(target: DataFrame, changes: DataFrame, allowed: DataFrame, key: str, owner: str, column: str) -> DataFrame:
+    """``target`` with ``column`` set from ``changes`` (key, owner, column) where key and owner are those of the row, and the new value
+    is null or in ``allowed`` (column, owner) for that owner. All else stays; of changes to one key the greatest value is taken."""
+    pairs = allowed.select(column, owner).distinct()
+    fits = changes.join(pairs, [column, owner], "left_semi").unionByName(changes.where(F.col(column).isNull()), allowMissingColumns=True)
+    new = fits.groupBy(key, owner).agg(F.max(column).alias("__new")).withColumn("__set", F.lit(True))
+    rows = target.join(new, [key, owner], "left")
+    return rows.select(*[F.when(F.col("__set"), F.col("__new")).otherwise(F.col(c)).alias(c) if c == column else F.col(c) for c in target.columns])
+
+
 def _is(name: str):
     return lambda k, v: k == name
 

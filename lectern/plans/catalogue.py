@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import relational_queries, search_queries, structure_queries, text_queries  # noqa: F401  they register themselves
+from . import reading_queries, relational_queries, search_queries, structure_queries, text_queries  # noqa: F401  they register themselves
 from .registry import QUERIES, SQL
 
 FLAGSHIP = "rrf_hybrid"

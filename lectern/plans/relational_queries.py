@@ -37,9 +37,9 @@ def scope_semi(t: Tables):
     return R.in_scope(t.orders.select("o_orderkey", "o_custkey"), "o_custkey", t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")).select("o_orderkey")
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
 def scope_anti(t: Tables):
-    return t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    return t.customer.join(t.orders.where("o_orderstatus = 'F'"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("""SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders""")
@@ -84,11 +84,11 @@ def upsert_coalesce(t: Tables):
     return R.upsert_coalesce(rows, ["user_id", "event_type"], ["at", "no"], ["event_id", "ts"], ["value", "props"])
 
 
-@query("""SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type, arg_max(event_id, (event_id % 3 = 0, ts, event_id)) AS event_id FROM events GROUP BY 1, 2""")
 def upsert_latest(t: Tables):
-    rows = t.events.select("user_id", "event_type", "event_id", "ts")
-    half = R.upsert_latest(rows.limit(0), rows.where("event_id % 2 = 0"), ["user_id", "event_type"], ["ts", "event_id"])
-    return R.upsert_latest(half.limit(0), rows, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+    rows, key, order = t.events.select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]
+    target = R.upsert_latest(rows.limit(0), rows.where("event_id % 3 != 0"), key, order)
+    return R.upsert_latest(target, rows.where("event_id % 3 = 0"), key, order).select("user_id", "event_type", "event_id")
 
 
 @query("""SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY early DESC, ts, event_id) AS n FROM (SELECT *, event_id < 500 AS early FROM events)) WHERE n = 1""")

@@ -126,7 +126,7 @@ def lexguard(t: Tables):
 
 
 CHAIN = "chain AS (SELECT conv_id * 1000 + turn AS id, conv_id AS doc, turn AS position FROM conversations)"
-SEEDS = "seeds AS (SELECT 1 AS query_id, conv_id * 1000 + turn AS id, conv_id AS doc, turn AS position, CAST(row_number() OVER (ORDER BY conv_id, turn) AS INTEGER) AS rank FROM conversations WHERE (conv_id * 7 + turn) % 11 = 0)"
+SEEDS = "seeds AS (SELECT conv_id // 10 AS query_id, conv_id * 1000 + turn AS id, conv_id AS doc, turn AS position, CAST(row_number() OVER (PARTITION BY conv_id // 10 ORDER BY conv_id, turn) AS INTEGER) AS rank FROM conversations WHERE (conv_id * 7 + turn) % 11 = 0)"
 
 
 def neighbour_sql(hops: int) -> str:
@@ -138,7 +138,7 @@ SELECT query_id, id, via, CAST(row_number() OVER (PARTITION BY query_id ORDER BY
 
 def neighbours(t: Tables, hops: int) -> DataFrame:
     chain = t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("doc"), F.col("turn").alias("position"))
-    seeds = chain.where("(doc * 7 + position) % 11 = 0").withColumn("query_id", F.lit(1))
+    seeds = chain.where("(doc * 7 + position) % 11 = 0").withColumn("query_id", F.floor(F.col("doc") / 10))
     seeds = seeds.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc", "position")))
     return S.expand_neighbours(seeds.select("query_id", "id", "rank"), chain, hops)
 
