@@ -1,14 +1,14 @@
 """Toxicity by weak supervision: many voters, a generative model of them, and a linear classifier on its posterior labels.
 
 1. A lexicon is mined from labelled documents that aren't held out: words and word heads that stand far more often in documents
-   marked toxic. Aggregation runs on Spark; the strongest ``MOST_TERMS`` terms come to the driver.
+   marked toxic. Aggregation runs on Spark; the terms come to the driver, whose number the training rows bound.
 2. Voters look at a text and say toxic, clean or nothing: shards of the lexicon by kind and strength, patterns (several hits,
    density, shouting, clean at length). Verdicts that the training labels contradict often are left out; the labels cast no vote.
 3. A generative model (expectation maximisation over votes that are independent given the class) estimates each voter's
    accuracy. Voters that go together beyond that, by their residual correlations, share their weight.
 4. A logistic regression on hit counts is trained on the posterior labels. It alone scores documents, where they lie.
 
-At most ``MOST_TRAINING`` labelled documents, the first by hash of their ids, are used in 1 to 4, and ``MOST_TERMS`` bounds the model. A score looks at the text alone.
+At most ``MOST_TRAINING`` labelled documents, the first by hash of their ids, are used in 1 to 4. A score looks at the text alone.
 
 Defined cases: null and empty texts have no hit and score as such; null labels and documents without one don't train; a null id
 is held out; repeated rows score alike; with no label or one class only the score is the class's share; an empty table gives an
@@ -31,7 +31,6 @@ from .quality import scored, training_rows, training_table
 from .sketch import shingle_hashes
 
 MOST_TRAINING = 12_000
-MOST_TERMS = 1_000
 #: Terms of the lexicon stand in at least so many toxic documents, so many times as often in them as in others, and surprise by
 #: at least so much (twice the log likelihood ratio against standing anywhere alike).
 LEAST_DOCUMENTS, LEAST_LIFT, LEAST_SURPRISE = 4, 10.0, 24.0
@@ -44,7 +43,7 @@ _WORD = re.compile(r"[^\W_]+")
 _UPPER = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper())}]+")
 
 
-def mine(rows: DataFrame, most: int = MOST_TERMS) -> dict[tuple[int, str], float]:
+def mine(rows: DataFrame) -> dict[tuple[int, str], float]:
     """(head length or 0, term) -> log lift, from training rows (text, label).
 
     Of rows that share their least shingle hash, as copies and near copies do, one of each label counts: else whatever words one
@@ -62,7 +61,7 @@ def mine(rows: DataFrame, most: int = MOST_TERMS) -> dict[tuple[int, str], float
     surprise = 2 * (F.col("toxic") * F.log(F.col("toxic") / both / alike) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / both / (1 - alike))).otherwise(0))
     best = counts.crossJoin(F.broadcast(total)).withColumn("lift", lift).withColumn("surprise", surprise)
     best = best.where((F.col("lift") >= float(np.log(LEAST_LIFT))) & (F.col("surprise") >= LEAST_SURPRISE))
-    best = best.orderBy(F.desc(F.col("lift") * F.sqrt("toxic")), "term").limit(most).select("term.k", "term.w", "lift")
+    best = best.select("term.k", "term.w", "lift")
     return {(r.k, r.w): r.lift for r in best.collect()}
 
 
