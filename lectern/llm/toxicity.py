@@ -18,7 +18,7 @@ empty result; texts of any length are read whole; other columns are left alone.
 from __future__ import annotations
 
 import re
-import sys
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -39,8 +39,6 @@ HEADS, SHARDS = (3, 4, 5, 6, 7), 4
 NONE = -1
 
 _WORD = re.compile(r"[^\W_]+")
-#: Runs of the characters that ``str.isupper`` takes.
-_UPPER = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isupper())}]+")
 
 
 def mine(rows: DataFrame) -> dict[tuple[int, str], float]:
@@ -102,13 +100,12 @@ class Lexicon:
         for row, text in zip(out, texts, strict=True):
             words = _WORD.findall((text or "").lower())
             hits, distinct = 0, 0
-            for word in set(words) if words else ():
+            for word, n in Counter(words).items():
                 found = [s[w] for s, w in zip(self.shards, (word, *[word[:k] if len(word) > k else None for k in HEADS]), strict=True) if w in s]
                 if found:
-                    n = words.count(word)
                     row[found] += 1
                     hits, distinct = hits + n, distinct + 1
-            upper = sum(map(len, _UPPER.findall(text or "")))
+            upper = sum(map(str.isupper, text or ""))
             row[-5:] = len(words), hits, upper / max(1, len(text or "")), (text or "").count("!"), distinct
         return out
 
