@@ -34,7 +34,7 @@ from .common import WORD, materialise
 MIN_WORDS = 30
 
 
-def _sorted_ranks(keys: DataFrame, by: list[str]) -> DataFrame:
+def sorted_ranks(keys: DataFrame, by: list[str]) -> DataFrame:
     """Distinct ``keys`` with ``rank``, their place in the order of ``by`` over all of them, from 1: each range-sorted part
     numbers its own rows and adds the number of rows in the parts before it."""
     parted = materialise(keys.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "line-ranks")
@@ -61,7 +61,7 @@ def ranked_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     lines = materialise(_lines(docs, id_col, text_col), "lines")
     place = F.struct("doc", "line_no")
     repeated = lines.groupBy("line").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a != z").select("line")
-    ordered = _sorted_ranks(repeated, ["line"])
+    ordered = sorted_ranks(repeated, ["line"])
     # places among the document's lines with words, before the unique ones go
     at = F.row_number().over(Window.partitionBy("doc").orderBy("line_no")) - 1
     lines = lines.select("doc", "line_no", "line", "words").dropDuplicates(["doc", "line_no"]).withColumn("at", at)
@@ -74,7 +74,7 @@ def ranked_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         second = F.when(there, F.lead(F.element_at("ranks", level + 1), half).over(within))
         paired = lines.withColumn("a", F.element_at("ranks", level + 1)).withColumn("b", second)
         pairs = paired.where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").count().where("count > 1").select("a", "b")
-        ordered = _sorted_ranks(pairs, ["a", "b"])
+        ordered = sorted_ranks(pairs, ["a", "b"])
         # places without a pair stay out of the join, where they would be one group
         has = F.col("a").isNotNull() & F.col("b").isNotNull()
         ranked = paired.where(has).join(ordered, ["a", "b"], "left").select(*lines.columns, "rank")
