@@ -1,4 +1,4 @@
-"""Text functions: token estimates, truncation, splitting, citations. All are Column expressions; none needs Python at run time."""
+"""Text functions: token estimates, truncation, splitting, citations. All are Column expressions; only a dictionary needs Python at run time."""
 
 from __future__ import annotations
 
@@ -75,14 +75,12 @@ def custom_words(listed: str) -> list[str]:
 def tokens(text: Column, words: Sequence[str] = ()) -> Column:
     """Lower-case runs of letters and of digits, single CJK characters, and the codes once more (they then count twice). The
     ``words`` of a dictionary stay whole where they stand, longer ones first, but not within a run of other letters; an index and its
-    queries must share them."""
+    queries must share them. Without a dictionary all is built-in expressions; with one, the cut is a trie in Arrow batches."""
     low = F.lower(text)
     if words:
-        letter = rf"[\p{{L}}\p{{N}}&&[^{CJK}]]"
-        ends = [(re.escape(w.lower()), re.match(rf"[^\W{CJK}]", w), re.search(rf"[^\W{CJK}]$", w)) for w in sorted(set(words), key=lambda w: (-len(w), w))]
-        whole = "|".join(f"(?<!{letter}){w}" * bool(a) + w * (not a) + f"(?!{letter})" * bool(z) for w, a, z in ends)
-        own = F.regexp_extract_all(low, F.lit(rf"{whole}|[{CJK}]|[0-9]+|[\p{{L}}&&[^{CJK}]]+"), F.lit(0))
-        return F.concat(own, code_tokens(text))
+        from .dictionary import cut  # which needs this module's character ranges
+
+        return F.concat(cut(low, words), code_tokens(text))
     plain = F.regexp_extract_all(low, F.lit(r"[0-9]+|\p{L}+"), F.lit(0))
     mixed = F.regexp_extract_all(low, F.lit(rf"[{CJK}]|[0-9]+|[\p{{L}}&&[^{CJK}]]+"), F.lit(0))
     return F.concat(F.when(F.rlike(low, F.lit(f"[{CJK}]")), mixed).otherwise(plain), code_tokens(text))

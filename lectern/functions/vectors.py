@@ -1,8 +1,13 @@
-"""Vector functions."""
+"""Vector functions, and matrix products of blocks of vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import let
@@ -33,11 +38,83 @@ def render(v: Column) -> Column:
 
 
 def hashed(tokens: Column, width: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed feature hashing of tokens into ``width`` places."""
-    places = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(width)).cast("int").alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    zero = F.array_repeat(F.lit(0.0), width)
-
-    def step(v: Column, p: Column) -> Column:
-        return F.transform(v, lambda x, i: F.when(i == p["at"], x + p["sign"]).otherwise(x))
-
-    return F.aggregate(places, zero, step)
+    """A deterministic stand-in for an embedding model: signed feature hashing of tokens into ``width`` places. Hashes are built-in;
+    the places of a batch of rows are summed at once."""
+    places = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(width)).cast("int"))
+    signs = F.transform(tokens, lambda t: F.when(F.pmod(F.xxhash64(t, F.lit(1)), F.lit(2)) == 0, 1).otherwise(-1))
+
+    @F.pandas_udf("array<double>")
+    def summed(at: pd.Series, sign: pd.Series) -> pd.Series:
+        known = at.notna().to_numpy()
+        sizes = [len(x) if ok else 0 for x, ok in zip(at, known, strict=True)]
+        flat = np.concatenate([np.zeros(0, np.int64), *at[known]]).astype(np.int64)
+        weights = np.concatenate([np.zeros(0), *sign[known]]).astype(float)
+        row = np.repeat(np.arange(len(at)), sizes)
+        out = np.bincount(row * width + flat, weights=weights, minlength=len(at) * width).reshape(len(at), width)
+        return pd.Series([v if ok else None for v, ok in zip(out, known, strict=True)])
+
+    return summed(places, signs)
+
+
+#: Columns of a block: how many vectors, their ids, and their unit vectors as one matrix.
+PACKED = ("n", "ids", "matrix")
+
+
+def packed(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """rows (id, v: array<float>) as blocks (n, ids, matrix of float64), each of an Arrow batch or of at most ``most`` rows of it.
+    Narrow: nothing is shuffled."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for a in range(0, whole.num_rows, most or max(1, whole.num_rows)):
+                part = whole.slice(a, most or whole.num_rows)
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                length = np.sqrt((v * v).sum(1, keepdims=True))
+                v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("id"))
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), ids, pa.array([v.tobytes()], pa.binary())], list(PACKED))
+
+    return rows.mapInArrow(batches, f"n int, ids array<{kind}>, matrix binary")
+
+
+def first_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best of one query, ties by id."""
+    keys = np.round(scores, 6)
+    if len(keys) > k:
+        held = np.flatnonzero(keys >= np.partition(keys, len(keys) - k)[len(keys) - k])
+        keys, scores, ids = keys[held], scores[held], ids[held]
+    order = np.lexsort((ids, -keys))[:k]
+    return scores[order], ids[order]
+
+
+def nearest(pairs: DataFrame, k: int, query_type: str, id_type: str, held: int = 64) -> DataFrame:
+    """(query_id, id, score): for each pair of blocks (row_*, query_*) the ``k`` best rows of each query. A task keeps the best of up to
+    ``held`` blocks of queries while rows go by, and gives them when it has more, or ends."""
+    schema = f"query_id {query_type}, id {id_type}, score double"
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def given(key: tuple) -> pa.RecordBatch:
+            found = best.pop(key)
+            sizes = [len(s) for s, _ in found]
+            queries = pa.array(np.repeat(np.array(key), sizes).tolist(), query_arrow)
+            return pa.RecordBatch.from_arrays([queries, pa.array(np.concatenate([i for _, i in found]).tolist(), id_arrow), pa.array(np.concatenate([s for s, _ in found]), pa.float64())], ["query_id", "id", "score"])
+
+        query_arrow = id_arrow = pa.int64()
+        for part in parts:
+            query_arrow, id_arrow = (part.schema.field(c).type.value_type for c in ("query_ids", "row_ids"))
+            for r in part.to_pylist():
+                rows, asked = (np.frombuffer(r[f"{x}_matrix"]).reshape(r[f"{x}_n"], -1) for x in ("row", "query"))
+                key, ids, scores = tuple(r["query_ids"]), np.array(r["row_ids"]), rows @ asked.T
+                some = [first_of(scores[:, j], ids, k) for j in range(len(key))]
+                if key in best:
+                    some = [first_of(np.concatenate((a, c)), np.concatenate((b, d)), k) for (a, b), (c, d) in zip(best[key], some, strict=True)]
+                elif len(best) >= held:
+                    yield given(next(iter(best)))
+                best[key] = some
+        for key in list(best):
+            yield given(key)
+
+    return pairs.mapInArrow(batches, schema)

@@ -6,7 +6,8 @@ a scope. Scores are rounded before they rank, and every order ends in an id, so
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 
+if TYPE_CHECKING:
+    from .index import Index
+
 K1, B = 1.2, 0.75
 RRF = 60
+#: Parts that the postings of a term are dealt to; queries in one matrix.
+PARTS, QUERY_BLOCK = 32, 1024
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -48,13 +54,22 @@ def bm25_weight(tf: Column, length: Column, n_docs: Column, avg_length: Column,
     return idf(n_docs, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, words: Sequence[str] = ()) -> DataFrame:
     """(query_id, term) from (query_id, query): distinct tokens."""
-    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("query"), words))).alias("term"))
+
+
+def weighted(posts: DataFrame, terms: DataFrame, stats: DataFrame, parts: int = PARTS) -> DataFrame:
+    """(query_id, id, w): what each posting weighs for each query that has its term; terms (query_id, term, df), stats one row. A
+    term's postings are dealt to ``parts`` parts by id, so that a term in all documents is no single group."""
+    asked = terms.crossJoin(F.broadcast(stats)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    held = posts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).join(asked, ["term", "part"])
+    return held.select("query_id", "id", bm25_weight(F.col("tf"), F.col("length"), F.col("n_docs"), F.col("avg_length"), F.col("df")).alias("w"))
 
 
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` best documents that hold any term; of the ids in ``scope`` if given."""
+    """(query_id, id, score, rank): the ``k`` best documents that hold any term; of the ids in ``scope`` if given. For a table that is
+    searched once: others are better indexed (:mod:`lectern.operators.index`)."""
     tokens = tokenised(docs, id_col, text_col)
     terms = query_terms(queries)
     # only the terms that are asked for are counted, and an empty one that stands once in every document, for the statistics
@@ -64,11 +79,11 @@ def keyword_search(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str =
     # all three read tf, so that they share one scan and one shuffle
     every = (F.col("term") == "") & (F.col("tf") > 0)
     stats = posts.agg(F.count_if(every).alias("n_docs"), F.coalesce(F.avg(F.when(every & (F.col("length") > 0), F.col("length"))), F.lit(0.0)).alias("avg_length"))
-    counted = posts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).crossJoin(F.broadcast(stats))
-    weights = posts.join(counted, "term").withColumn("w", bm25_weight(F.col("tf"), F.col("length"), F.col("n_docs"), F.col("avg_length"), F.col("df")))
+    counted = terms.join(posts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).where("term != ''"), "term")
+    weights = weighted(posts.where("term != ''"), counted, stats)
     if scope is not None:
         weights = weights.join(scope.select(F.col(scope.columns[0]).alias("id")), "id", "left_semi")
-    scores = weights.join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
+    scores = weights.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
     return top(scores, k)
 
 
@@ -79,16 +94,19 @@ def top(scores: DataFrame, k: int) -> DataFrame:
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vector_col: str = "embedding", scope: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` nearest vectors by cosine for each query (query_id, vector); a stated set of
-    queries against all rows, each row normalised once. Partial top-k runs before the shuffle."""
+    """(query_id, id, score, rank): the ``k`` nearest vectors by cosine for each query (query_id, vector); a stated set of queries
+    against all rows, block by block: a block of rows times a block of queries is one matrix product, of which each task keeps the
+    ``k`` best per query. Nulls aren't compared; a vector of zeros has score 0."""
     rows = vectors.where(F.col(vector_col).isNotNull())
     if scope is not None:
         rows = rows.join(scope.select(F.col(scope.columns[0]).alias(id_col)), id_col, "left_semi")
-    rows = rows.select(F.col(id_col).alias("id"), V.unit(F.col(vector_col)).alias("v"))
-    asked = queries.where("vector IS NOT NULL").select("query_id", V.unit(F.col("vector")).alias("q"))
-    # Spark broadcasts the queries if they are small, else it takes the two sides' partitions pair by pair
-    scores = rows.crossJoin(asked).select("query_id", "id", F.round(V.dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return top(scores, k)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    asked = queries.where("vector IS NOT NULL").select(F.col("query_id").alias("id"), F.col("vector").cast("array<float>").alias("v"))
+    # Spark broadcasts the blocks of queries if they are small, else it takes the two sides' partitions pair by pair
+    pairs = V.packed(rows).select(*[F.col(c).alias(f"row_{c}") for c in V.PACKED]).crossJoin(V.packed(asked, QUERY_BLOCK).select(*[F.col(c).alias(f"query_{c}") for c in V.PACKED]))
+    types = {f.name: f.dataType.simpleString() for f in [*rows.schema, *asked.withColumnRenamed("id", "query_id").schema]}
+    scores = V.nearest(pairs, k, types["query_id"], types["id"])
+    return top(scores.select("query_id", "id", F.round("score", 6).alias("score")), k)
 
 
 def fuse(first: DataFrame, second: DataFrame, k: int) -> DataFrame:
@@ -149,7 +167,7 @@ def expand_neighbours(core: DataFrame, chain: DataFrame, hops: int) -> DataFrame
 
 
 def retrieve(
-    docs: DataFrame,
+    docs: DataFrame | Index,
     vectors: DataFrame,
     queries: DataFrame,
     *,
@@ -162,12 +180,14 @@ def retrieve(
     rerank: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The whole ranking of (query_id, query, vector), of the ids in ``scope`` if given: both pools, fusion, guard and neighbours.
-    (query_id, id, via, rank)
+    (query_id, id, via, rank); ``docs`` is a table of texts or its stored index.
 
     ``rerank`` gives candidates (query_id, id, place) a ``score`` of their own: the pool and the leading keyword hits are then ranked
     by it together, guarded hits among them. Each search is made once; what follows are windows over its few rows per query.
     """
-    keyword = keyword_search(docs, queries, max(pool, guard), scope=scope).select("query_id", "id", F.col("rank").alias("rank_k"))
+    asked = queries.where("query IS NOT NULL").select("query_id", "query")
+    found = keyword_search(docs, asked, max(pool, guard), scope=scope) if isinstance(docs, DataFrame) else docs.keyword_search(asked, max(pool, guard), scope=scope)
+    keyword = found.select("query_id", "id", F.col("rank").alias("rank_k"))
     vector = vector_search(vectors, queries, pool, scope=scope).select("query_id", "id", F.col("rank").alias("rank_v"))
     both = vector.join(keyword, ["query_id", "id"], "full_outer")
     rank_k = F.when(F.col("rank_k") <= pool, F.col("rank_k"))

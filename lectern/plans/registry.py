@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import index as I
+from ..sources.versions import shared_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Stored indexes of this process, by session and by the files that they are made of.
+INDEXES: dict[tuple, I.Index] = {}
 
 
 class Tables:
@@ -21,6 +27,17 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def index(self) -> I.Index:
+        """The stored index of ``documents``, made where this session has none for the table as it is."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/documents.parquet")
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files = [path] if store.getFileStatus(path).isFile() else [f.getPath() for f in store.listStatus(path)]
+        status = sorted((f.toString(), store.getFileStatus(f).getLen(), store.getFileStatus(f).getModificationTime()) for f in files)
+        key = (self.spark.sparkContext.applicationId, repr(status))
+        if key not in INDEXES:
+            INDEXES[key] = I.build(self.documents, f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}")
+        return INDEXES[key]
+
 
 def query(sql: str | None = None) -> Callable:
     """Register a function of :class:`Tables` under its name, with DuckDB SQL that gives the same rows."""

@@ -45,17 +45,23 @@ def asked_vectors(t: Tables) -> DataFrame:
 
 
 def both_pools(t: Tables, pool: int = 20) -> tuple[DataFrame, DataFrame]:
-    return S.vector_search(t.embeddings, asked_vectors(t), pool), S.keyword_search(t.documents, asked(t), pool)
+    return S.vector_search(t.embeddings, asked_vectors(t), pool), t.index().keyword_search(asked(t), pool)
 
 
 @query(f"{KEYWORD} {OUT.format('kw', 10)}")
 def bm25_topk(t: Tables):
-    return S.keyword_search(t.documents, asked(t), 10)
+    return t.index().keyword_search(asked(t), 10)
 
 
 @query(f"WITH {STATS}, {terms(ASKED)}, {SCORES.format(where='WHERE id IN (SELECT doc_id FROM documents WHERE source = ' + chr(39) + 'src1' + chr(39) + ')')}, {RANKED.format(name='kw', scores='scores')} {OUT.format('kw', 10)}")
 def bm25_scoped(t: Tables):
-    return S.keyword_search(t.documents, asked(t), 10, scope=t.documents.where("source = 'src1'").select("doc_id"))
+    return t.index().keyword_search(asked(t), 10, scope=t.documents.where("source = 'src1'").select("doc_id"))
+
+
+@query(f"{KEYWORD} {OUT.format('kw', 10)}")
+def bm25_unindexed(t: Tables):
+    """The same search, over the texts themselves."""
+    return S.keyword_search(t.documents, asked(t), 10)
 
 
 @query(f"WITH {STATS} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avg_length FROM stats")
@@ -65,7 +71,7 @@ def corpus_stats(t: Tables):
 
 @query(f"WITH {STATS} SELECT term, df FROM freq")
 def doc_freq(t: Tables):
-    return S.doc_freq(S.postings(S.tokenised(t.documents)))
+    return t.index().doc_freq().select("term", "df")
 
 
 @query(f"WITH {STATS} SELECT id, term, tf FROM posts")
@@ -75,9 +81,8 @@ def term_freq(t: Tables):
 
 @query(f"WITH {STATS} SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM freq, stats")
 def idf_table(t: Tables):
-    tokens = S.tokenised(t.documents)
-    freq = S.doc_freq(S.postings(tokens)).crossJoin(F.broadcast(S.corpus_stats(tokens)))
-    return freq.select("term", F.round(S.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+    known = t.index()
+    return known.doc_freq().select("term", F.round(S.idf(F.lit(known.n_docs), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {VEC.format(where='AND q.vec_id = 0')}, {RANKED.format(name='vec', scores='vscores')} {OUT.format('vec', 5)}")
@@ -110,7 +115,7 @@ def candidate_union(t: Tables):
 
 @query(f"{KEYWORD} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(1 - (rank - 1) * 1e-6, 9) AS score FROM kw WHERE rank <= 10")
 def noop_rerank(t: Tables):
-    return S.keep_order_rerank(S.keyword_search(t.documents, asked(t), 10)).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
+    return S.keep_order_rerank(t.index().keyword_search(asked(t), 10)).select("query_id", "id", "rank", F.round("score", 9).alias("score"))
 
 
 GUARD = """core AS (SELECT query_id, id, rank FROM {core} WHERE rank <= {k}), miss AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM (SELECT * FROM kw WHERE rank <= {n}) m WHERE NOT EXISTS (SELECT 1 FROM core c WHERE c.query_id = m.query_id AND c.id = m.id)),
@@ -174,7 +179,7 @@ def asked_both(t: Tables) -> DataFrame:
 
 @query(f"""{PAIR}, {FUSED}, {GUARD.format(core='hybrid', k=5, n=2, most=1)}, {NEAR}""")
 def retrieve_full(t: Tables):
-    return S.retrieve(t.documents, t.embeddings, asked_both(t), chain=chained(t))
+    return S.retrieve(t.index(), t.embeddings, asked_both(t), chain=chained(t))
 
 
 def by_hash(candidates: DataFrame) -> DataFrame:
@@ -189,7 +194,7 @@ extra AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS nth
 final AS (SELECT r.query_id, r.id, CAST(NULL AS VARCHAR) AS via, r.r FROM ranked r LEFT JOIN n USING (query_id) WHERE r.r <= 5 - coalesce(n.n, 0) UNION ALL SELECT query_id, id, 'lexguard', r FROM extra WHERE nth <= 1)
 SELECT query_id, id, via, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r) AS INTEGER) AS rank FROM final""")
 def retrieve_reranked(t: Tables):
-    return S.retrieve(t.documents, t.embeddings, asked_both(t), rerank=by_hash)
+    return S.retrieve(t.index(), t.embeddings, asked_both(t), rerank=by_hash)
 
 
 SCOPE = "WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
@@ -197,7 +202,7 @@ SCOPE = "WHERE id IN (SELECT doc_id FROM documents WHERE lang = 'en')"
 
 @query(f"""WITH {STATS}, {terms(ASKED)}, {SCORES.format(where=SCOPE)}, {RANKED.format(name='kw', scores='scores')}, {VEC.format(where="AND e.vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")}, {RANKED.format(name='vec', scores='vscores')}, {FUSED}, {GUARD.format(core='hybrid', k=5, n=2, most=1)} SELECT query_id, id, via, rank FROM guarded""")
 def retrieve_scoped(t: Tables):
-    return S.retrieve(t.documents, t.embeddings, asked_both(t), scope=t.documents.where("lang = 'en'").select("doc_id"))
+    return S.retrieve(t.index(), t.embeddings, asked_both(t), scope=t.documents.where("lang = 'en'").select("doc_id"))
 
 
 @query(f"""{PAIR}, {FUSED}, met AS (SELECT query_id, id // 10 AS page_id, min(rank) AS best FROM hybrid WHERE rank <= 10 AND id % 10 <> 3 AND id IN (SELECT doc_id FROM documents) GROUP BY 1, 2) SELECT query_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best, page_id) AS INTEGER) AS rank FROM met""")
@@ -218,7 +223,7 @@ def order_preserving_lookup(t: Tables):
 
 @query(f"""{KEYWORD}, met AS (SELECT query_id, id // 10 AS page_id, min(rank) AS best FROM kw WHERE rank <= 10 AND id % 10 <> 3 GROUP BY 1, 2) SELECT query_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best, page_id) AS INTEGER) AS rank FROM met""")
 def hits_to_pages(t: Tables):
-    return S.hits_to_pages(S.keyword_search(t.documents, asked(t), 10), pages_of_documents(t))
+    return S.hits_to_pages(t.index().keyword_search(asked(t), 10), pages_of_documents(t))
 
 
 BY_ITEM = f"WITH {STATS}, {terms('SELECT item_id AS query_id, text AS query FROM benchmark')}, {SCORES.format(where='')}, {RANKED.format(name='kw', scores='scores')}"
@@ -234,7 +239,7 @@ def found_spans(t: Tables) -> DataFrame:
     words = F.split("text", " ")
     spans = F.array(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))), F.get(words, F.lit(2)), F.lit("nowhere at all"))
     cases = t.benchmark.select(F.col("item_id").alias("case_id"), F.array_distinct(spans).alias("spans"))
-    found = S.keyword_search(t.documents, t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5)
+    found = t.index().keyword_search(t.benchmark.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5)
     hits = found.join(t.documents, F.col("id") == F.col("doc_id")).select(F.col("query_id").alias("case_id"), F.col("text").alias("content"))
     return E.span_hits(cases, hits)
 
