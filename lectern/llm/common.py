@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,13 @@ def discard(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def slices(parts: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of few rows: what Python makes of long texts then stays small."""
+    for part in parts:
+        for a in range(0, part.num_rows, rows):
+            yield part.slice(a, rows)
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """``then(value)`` with the value computed once per row, however often ``then`` or a lambda in it refers to it."""
     return F.element_at(F.transform(F.array(value), then), 1)

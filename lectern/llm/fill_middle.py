@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 
 #: The marks before prefix, suffix and middle.
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
@@ -104,7 +104,7 @@ def cut(text: bytes, bounds: Boundaries, numbers: list[int]) -> tuple[str, int |
 
 def _indexed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) with the text's boundary list."""
-    for part in parts:
+    for part in slices(parts):
         lists = [Boundaries.in_utf8(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
         held = pa.array([vars(b) for b in lists], _LIST)
         yield pa.RecordBatch.from_arrays([part.column("key"), part.column("text"), held], ["key", "text", "bounds"])
@@ -119,7 +119,7 @@ def _cut(seed: int, rows: DataFrame) -> DataFrame:
     """rows (doc_id, text, bounds, or null where the text has no list yet) as what :func:`fill_middle` returns."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             texts, lists = part.column("text").cast(pa.binary()).to_pylist(), part.column("bounds").to_pylist()
             lists = [Boundaries(**b) if b else Boundaries.in_utf8(t) for b, t in zip(lists, texts, strict=True)]
             made = [cut(t, b, seeded(seed, i)) for i, t, b in zip(part.column("doc_id").to_pylist(), texts, lists, strict=True)]
