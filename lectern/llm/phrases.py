@@ -7,8 +7,9 @@
    is joined to the vocabularies, and each chunk gets the ids of its own words.
 3. Chunks turn numbers into ids and break pieces at other words. The ids of each place and the three after it, of fixed width, are
    one binary key; a chunk sorts its keys by radix and counts runs of equal ones before anything is shuffled.
-4. Keys are range-partitioned. A partition sorts them by radix; runs of equal beginnings of two, three and four ids are the phrases.
-   A run inside a partition is whole; the first and the last may go on in the next one, and are summed with it.
+4. Keys are range-partitioned at quantiles drawn from some chunks: a chunk sends each partition its part of the sorted keys, packed. A
+   partition sorts them by radix; runs of equal beginnings of two, three and four ids are the phrases. A run inside a partition is
+   whole; the first and the last may go on in the next one, and are summed with it.
 5. Phrases join the counts of their parts; scores are compared as exact integers.
 
 Defined cases: null texts are empty; a null language is ``und``; repeated rows count as often as they stand; texts of any length are
@@ -17,12 +18,13 @@ read whole; an empty table gives an empty result; ids and other columns don't ma
 
 from __future__ import annotations
 
-import uuid
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,25 @@ from .line_dedup import sorted_ranks
 #: Words of the longest phrase, occurrences of the rarest, and length of each language's list.
 LONGEST, LEAST, FIRST = 4, 30, 2000
 UNKNOWN = "und"
-#: Words, and distinct words, at which a chunk is written; words in one row of numbers; keys in a range partition, about.
-CHUNK, VOCABULARY, ROW, PART = 1 << 22, 1 << 19, 1 << 19, 1 << 22
+#: Words, and distinct words, at which a chunk is written; words behind a range partition, about.
+CHUNK, VOCABULARY, PART = 1 << 21, 1 << 19, 1 << 22
+#: Chunks from which the partitions' bounds are drawn, about, and the place of one key drawn to the next.
+SAMPLED, EVERY = 16, 2048
 #: A-Z in lower case, and what ends a piece as a full stop, which no word holds.
 _LOWER = bytes(46 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return _ZSTD.compress(np.ascontiguousarray(values).tobytes(), asbytes=True)
+
+
+def _unpacked(data: bytes, size: int, kind: type) -> np.ndarray:
+    return np.frombuffer(_ZSTD.decompress(data, size * np.dtype(kind).itemsize, asbytes=True), kind)
+
+
 class Chunk:
     """Texts of one language as numbers of words; 0 ends a piece."""
 
@@ -58,39 +73,37 @@ class Chunk:
     def full(self) -> bool:
         return self.words >= CHUNK or len(self.numbers) >= VOCABULARY
 
-    def rows(self, lang: str) -> list[dict]:
-        """One row of the vocabulary (word k has number k + 1), and the numbers in rows of about ``ROW``, cut between texts."""
+    def row(self, lang: str, chunk: int) -> dict:
+        """The vocabulary (word k has number k + 1), its counts, and the texts as ``size`` numbers, compressed."""
         codes = np.concatenate(self.texts)
-        counts, name = np.bincount(codes, minlength=len(self.numbers))[1:], uuid.uuid4().hex
-        ends = np.cumsum([len(t) for t in self.texts])
-        edges = [0, *ends[np.unique(np.searchsorted(ends, np.arange(ROW, ends[-1], ROW)))].tolist()]
-        cuts = zip(edges, [*edges[1:], len(codes)], strict=True)
-        out = [{"chunk": name, "lang": lang, "words": None, "counts": None, "codes": codes[a:z].tobytes()} for a, z in cuts if z > a]
-        return [{"chunk": name, "lang": lang, "words": [w.decode() for w in self.numbers][1:], "counts": counts.tolist(), "codes": None}, *out]
+        counts = np.bincount(codes, minlength=len(self.numbers))[1:]
+        words = [w.decode() for w in self.numbers][1:]
+        return {"chunk": chunk, "lang": lang, "words": words, "counts": counts.tolist(), "size": len(codes), "codes": _packed(codes)}
 
 
-_CODED = "chunk string, lang string, words array<string>, counts array<long>, codes binary"
-_CODED_ARROW = pa.schema([("chunk", pa.string()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("codes", pa.binary())])
+_CODED = "chunk long, lang string, words array<string>, counts array<long>, size long, codes binary"
+_CODED_ARROW = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("size", pa.int64()), ("codes", pa.binary())])
 
 
 def _coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     open_: dict[str, Chunk] = {}
+    task = TaskContext.get()
+    # a task that runs again gives its chunks the same names
+    names = count((task.partitionId() if task else 0) << 24)
 
-    def written(lang: str) -> Iterator[pa.RecordBatch]:
-        for row in open_.pop(lang).rows(lang):
-            yield pa.RecordBatch.from_pylist([row], _CODED_ARROW)
+    def written(lang: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([open_.pop(lang).row(lang, next(names))], _CODED_ARROW)
 
     for part in parts:
-        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            if text:
-                chunk = open_.setdefault(lang, Chunk())
-                chunk.add(text)
-                if chunk.full:
-                    yield from written(lang)
-                elif sum(c.words for c in open_.values()) >= CHUNK:  # one limit for all languages together, however many
-                    yield from written(max(open_, key=lambda k: open_[k].words))
+        for lang, text in zip(part.column("lang").to_pylist(), part.column("text").cast(pa.binary()), strict=True):
+            chunk = open_.setdefault(lang, Chunk())
+            chunk.add(text.as_py())
+            if chunk.full:
+                yield written(lang)
+            elif sum(c.words for c in open_.values()) >= 2 * CHUNK:  # one limit for all languages together, however many
+                yield written(max(open_, key=lambda k: open_[k].words))
     for lang in list(open_):
-        yield from written(lang)
+        yield written(lang)
 
 
 def radix_order(keys: np.ndarray) -> np.ndarray:
@@ -127,66 +140,88 @@ def keys_of(ids: np.ndarray, width: int, longest: int = LONGEST) -> np.ndarray:
     return np.concatenate([id_bytes(a[kept], width) for a in after], 1)
 
 
-def _key_batches(keys: np.ndarray, counts: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """Sorted and counted keys as rows (key, n)."""
-    order = radix_order(keys)
-    keys = keys[order]
-    starts, sums = runs(keys, counts[order])
-    yield from _batches(keys[starts], sums)
-
-
-def _batches(keys: np.ndarray, counts: np.ndarray, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(keys), rows):
-        part = np.ascontiguousarray(keys[a : a + rows])
-        fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(part.shape[1]), len(part), [None, pa.py_buffer(part)])
-        yield pa.RecordBatch.from_arrays([fixed.cast(pa.binary()), pa.array(counts[a : a + rows], pa.int64())], ["key", "n"])
-
-
-def _fixed(column: pa.Array, size: int) -> np.ndarray:
-    """(rows, size) of a binary column whose values all have that size."""
-    column = column.cast(pa.binary())
-    _, offsets, data = column.buffers()
-    first = np.frombuffer(offsets, np.int32)[column.offset]
-    return np.frombuffer(data, np.uint8)[first : first + len(column) * size].reshape(-1, size)
-
-
-def _counted_keys(coded: DataFrame, width: int) -> DataFrame:
-    """(key, n) of rows (codes, ids: array of the chunk's (number, id)): keys and how often each stands in the row."""
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for codes, known in zip(part.column("codes").to_pylist(), part.column("ids"), strict=True):
-                pairs = known.values
-                codes = np.frombuffer(codes, np.int32)
-                ids = np.zeros(int(codes.max()) + 1, np.int64)
-                at, to = (pairs.field(k).to_numpy() for k in ("at", "id"))
-                here = at < len(ids)
-                ids[at[here]] = to[here]
-                keys = keys_of(ids[codes], width)
-                if len(keys):
-                    yield from _key_batches(keys, np.ones(len(keys), np.int64), width)
-
-    return coded.mapInArrow(batches, "key binary, n long")
-
-
-def _phrase_runs(keys: DataFrame, width: int, least: int) -> DataFrame:
-    """(key, n) of range-partitioned keys: phrases that stand ``least`` times in their partition, and those at its ends, with counts."""
-
-    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(_fixed(p.column("key"), LONGEST * width), p.column("n").to_numpy()) for p in parts if p.num_rows]
-        if not held:
-            return
-        keys, counts = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+def _counted_keys(codes: pa.Table, known: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A chunk's keys in order, each once, and how often it stands there; from its row and the ids of its words (at, id)."""
+    size = codes.column("size")[0].as_py()
+    numbers = _unpacked(codes.column("codes")[0].as_py(), size, np.int32)
+    ids = np.zeros(int(numbers.max()) + 1, np.int64)
+    ids[known.column("at").to_numpy()] = known.column("id").to_numpy()
+    keys = keys_of(ids[numbers], width)
+    keys = keys[radix_order(keys)]
+    starts, sums = runs(keys, np.ones(len(keys), np.int64))
+    return keys[starts], sums
+
+
+def _as_bytes(keys: np.ndarray) -> np.ndarray:
+    """Rows as values that numpy compares byte by byte."""
+    return np.ascontiguousarray(keys).view(f"S{keys.shape[1]}").ravel()
+
+
+def _cuts(chunks: DataFrame, ids: DataFrame, totals: DataFrame, width: int) -> np.ndarray:
+    """The keys at which range partitions start, but the first: quantiles of the keys of some chunks of each language.
+
+    A language's chunks that are looked at are its first by name, and of the rest those by hash, ``SAMPLED`` in all about. Only how
+    even the partitions are depends on it. Every ``EVERY``-th key comes to the driver.
+    """
+    n = chunks.count()
+    first = chunks.groupBy("lang").agg(F.min("chunk").alias("first"))
+    some = chunks.join(first, "lang").where((F.col("chunk") == F.col("first")) | (F.pmod(F.xxhash64("chunk"), F.lit(max(1, n // SAMPLED))) == 0)).drop("first")
+
+    def sampled(codes: pa.Table, known: pa.Table) -> pa.Table:
+        if not codes.num_rows or not known.num_rows:
+            return pa.table({"lang": pa.array([], pa.string()), "key": pa.array([], pa.binary())})
+        keys, counts = _counted_keys(codes, known, width)
+        at = np.searchsorted(np.cumsum(counts), np.arange(EVERY // 2, counts.sum(), EVERY)) if len(keys) else []
+        return pa.table({"lang": pa.array([codes.column("lang")[0].as_py()] * len(at), pa.string()), "key": pa.array([keys[i].tobytes() for i in at], pa.binary())})
+
+    wanted = ids.join(some.select("chunk"), "chunk", "left_semi")
+    drawn = some.groupBy("chunk").cogroup(wanted.groupBy("chunk")).applyInArrow(sampled, "lang string, key binary").collect()
+    weight = {r.lang: r.total for r in totals.join(some.select("lang").distinct(), "lang", "left_semi").collect()}
+    per = Counter(r.lang for r in drawn)
+    drawn = sorted((bytes(r.key), weight[r.lang] / per[r.lang]) for r in drawn)
+    upto = np.cumsum([w for _, w in drawn])
+    parts = int(upto[-1] // PART) + 1 if len(upto) else 1
+    at = np.searchsorted(upto, np.arange(1, parts) * (upto[-1] / parts)) if parts > 1 else []
+    return np.array(sorted({drawn[i][0] for i in at}), f"S{LONGEST * width}")
+
+
+def _dealt(chunks: DataFrame, ids: DataFrame, cuts: np.ndarray, width: int) -> DataFrame:
+    """(part, size, keys, counts): each chunk's keys in order, cut at ``cuts``; column by column, compressed."""
+
+    def batches(codes: pa.Table, known: pa.Table) -> pa.Table:
+        rows = []
+        if codes.num_rows and known.num_rows:
+            keys, counts = _counted_keys(codes, known, width)
+            edges = [0, *np.searchsorted(_as_bytes(keys), cuts).tolist(), len(keys)]
+            for part, (a, z) in enumerate(zip(edges, edges[1:], strict=False)):
+                if z > a:
+                    rows.append({"part": part, "size": z - a, "keys": _packed(keys[a:z].T), "counts": _packed(counts[a:z].astype(np.int32))})
+        return pa.Table.from_pylist(rows, pa.schema([("part", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+    return chunks.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(batches, "part int, size long, keys binary, counts binary")
+
+
+def _phrase_runs(dealt: DataFrame, width: int, least: int) -> DataFrame:
+    """(key, n) of the range partitions: phrases that stand ``least`` times in their partition, and those at its ends, with counts."""
+
+    def batches(part: pa.Table) -> pa.Table:
+        rows = part.select(["size", "keys", "counts"]).to_pylist()
+        keys = np.concatenate([_unpacked(r["keys"], r["size"] * LONGEST * width, np.uint8).reshape(-1, r["size"]).T for r in rows])
+        counts = np.concatenate([_unpacked(r["counts"], r["size"], np.int32) for r in rows]).astype(np.int64)
+        del rows
         order = radix_order(keys)
         keys, counts = keys[order], counts[order]
+        found, sums = [], []
         for words in range(2, LONGEST + 1):
-            starts, sums = runs(keys[:, : words * width], counts)
+            starts, n = runs(keys[:, : words * width], counts)
             ends = (np.arange(len(starts)) == 0) | (np.arange(len(starts)) == len(starts) - 1)
             full = keys[starts, (words - 1) * width : words * width].any(1)
-            kept = full & (ends | (sums >= least))
-            yield from _batches(keys[starts[kept], : words * width], sums[kept])
+            kept = np.flatnonzero(full & (ends | (n >= least)))
+            found += [keys[i, : words * width].tobytes() for i in starts[kept]]
+            sums.append(n[kept])
+        return pa.table({"key": pa.array(found, pa.binary()), "n": pa.array(np.concatenate(sums), pa.int64())})
 
-    return keys.mapInArrow(batches, "key binary, n long")
+    return dealt.groupBy("part").applyInArrow(batches, "key binary, n long")
 
 
 def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, int]:
@@ -195,24 +230,20 @@ def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str =
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN))
     texts = docs.select(lang.alias("lang"), F.col(text_col).cast("string").alias("text")).where("text != ''")
     coded = materialise(texts.mapInArrow(_coded, _CODED), "phrase-codes")
-    listed = coded.where("words IS NOT NULL").select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
-    listed = listed.select("chunk", "lang", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    listed = coded.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w"))
+    listed = listed.select("chunk", "lang", (F.col("at") + 1).cast("int").alias("at"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     counts = materialise(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-words")
-    totals = coded.where("words IS NOT NULL").groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
-    size, places = counts.count(), coded.where("codes IS NOT NULL").agg(F.coalesce(F.sum(F.octet_length("codes")), F.lit(0))).first()[0] // 4
-    width = max(1, (size.bit_length() + 7) // 8)
+    totals = coded.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total"))
+    width = max(1, (counts.count().bit_length() + 7) // 8)
     ranked = sorted_ranks(counts.select("lang", "word"), ["lang", "word"])
     key = F.substring(F.unhex(F.lpad(F.hex("rank"), 16, "0")), 9 - width, width)
     words = counts.join(ranked, ["lang", "word"]).select("lang", "word", "n", F.col("rank").cast("long").alias("rank"), key.alias("key"))
     words = materialise(words, "phrase-dictionary")
-    ids = listed.join(words.select("lang", "word", "rank"), ["lang", "word"]).groupBy("chunk", "lang")
-    ids = ids.agg(F.collect_list(F.struct(F.col("at").cast("int").alias("at"), F.col("rank").alias("id"))).alias("ids"))
-    ids = materialise(ids, "phrase-ids")  # a chunk's vocabulary at most
-    rows = coded.where("codes IS NOT NULL").select("chunk", "lang", "codes").join(ids, ["chunk", "lang"]).select("codes", "ids")
-    session = docs.sparkSession.conf
-    parts = max(int(session.get("spark.sql.shuffle.partitions")), -(-places // PART))
-    keys = _counted_keys(rows, width).repartitionByRange(parts, "key")
-    phrases = _phrase_runs(keys, width, least).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    ids = listed.join(words.select("lang", "word", "rank"), ["lang", "word"]).select("chunk", "at", F.col("rank").alias("id"))
+    ids = materialise(ids, "phrase-ids")
+    chunks = coded.select("chunk", "lang", "size", "codes")
+    cuts = _cuts(chunks, ids, totals, width)
+    phrases = _phrase_runs(_dealt(chunks, ids, cuts, width), width, least).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return words, materialise(phrases, "phrases"), totals, width
 
 
