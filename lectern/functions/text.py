@@ -38,11 +38,56 @@ def utf16_length(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(ASTRAL))
 
 
+def weight(text: Column) -> Column:
+    """struct<c, u>: a text's CJK characters, and the UTF-16 units of all others. Weights of parts add up to that of the whole."""
+    cjk = F.regexp_count(text, F.lit(f"[{CJK}]"))
+    exact = F.struct(cjk.cast("long").alias("c"), (utf16_length(text) - cjk).cast("long").alias("u"))
+    length = F.length(text)
+    # ASCII needs no look at its characters, and texts without any from the first CJK range on no count of them
+    plain = (F.octet_length(text) == length) | ~F.rlike(text, F.lit(f"[{chr(min(a for a, _ in CJK_RANGES))}-\\x{{10FFFF}}]"))
+    return F.when(plain, F.struct(F.lit(0).cast("long").alias("c"), length.cast("long").alias("u"))).otherwise(exact)
+
+
+def tokens_of(c: Column, u: Column) -> Column:
+    """The estimate for a text of this weight."""
+    return (c + F.ceil(u / 4)).cast("long")
+
+
 def estimate_tokens(text: Column) -> Column:
     """One token per CJK character, one per four other UTF-16 units, rounded up."""
-    cjk = F.regexp_count(text, F.lit(f"[{CJK}]"))
-    plain = F.octet_length(text) == F.length(text)  # ASCII alone needs no count of others
-    return F.when(plain, F.ceil(F.length(text) / 4)).otherwise(cjk + F.ceil((utf16_length(text) - cjk) / 4)).cast("long")
+    return let(weight(text), lambda w: tokens_of(w["c"], w["u"]))
+
+
+def cut_places(items: Column, ends: Callable[[Column, Column, dict[str, Column]], Column], glue: int) -> Column:
+    """array<int>: where greedy packs of ``items`` (array<struct<c, u, group>>, weights of texts that ``glue`` characters join) start
+    after the first. ``ends(pack, item, joined)`` says whether a pack ends before an item; ``joined`` is the weight of both.
+
+    A fold over numbers: no text is put together or measured again, and what is done is touched at cuts alone.
+    """
+
+    def state(cuts: Column, i: Column, c: Column, u: Column, group: Column) -> Column:
+        return F.struct(cuts.alias("cuts"), i.alias("i"), c.alias("c"), u.alias("u"), group.alias("group"))
+
+    def step(s: Column, x: Column) -> Column:
+        # spelt out rather than bound once: what a binding returns is copied, and the cuts so far must not be at each item
+        joined = {"c": s["c"] + x["c"], "u": s["u"] + x["u"] + glue}
+        cut = (s["i"] > 0) & ends(s, x, joined)
+        fresh = (s["i"] == 0) | ends(s, x, joined)
+        cuts = F.when(cut, F.concat(s["cuts"], F.array(s["i"]))).otherwise(s["cuts"])
+        return state(cuts, s["i"] + 1, F.when(fresh, x["c"]).otherwise(joined["c"]), F.when(fresh, x["u"]).otherwise(joined["u"]), x["group"])
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(items, state(F.array().cast("array<int>"), F.lit(0), zero, zero, F.lit(None).cast("string")), step, lambda s: s["cuts"])
+
+
+def between_cuts(items: Column, cuts: Column, glue: str) -> Column:
+    """array<string>: the runs of ``items`` (array<string>) from cut to cut, each joined by ``glue``; none of none."""
+
+    def runs(x: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), x["cuts"])
+        return F.transform(starts, lambda a, i: F.array_join(F.slice(x["items"], a + 1, F.coalesce(F.get(x["cuts"], i), F.size(x["items"])) - a), glue))
+
+    return F.when(F.size(items) > 0, let(F.struct(items.alias("items"), cuts.alias("cuts")), runs)).otherwise(F.array().cast("array<string>"))
 
 
 def truncate_utf16(text: Column, units: int) -> Column:
@@ -93,17 +138,9 @@ def sentences(text: Column) -> Column:
 
 def pack(pieces: Column, target: int) -> Column:
     """Neighbouring pieces joined while their estimate stays within ``target``; each trimmed."""
-
-    def step(state: Column, piece: Column) -> Column:
-        joined = F.concat(state["now"], piece)
-        fits = (state["now"] == "") | (estimate_tokens(joined) <= target)
-        return F.struct(
-            F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["now"]))).alias("done"), F.when(fits, joined).otherwise(piece).alias("now")
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    all_of = F.aggregate(pieces, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
-    return F.transform(all_of, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
+    weighed = F.transform(pieces, lambda p: let(weight(p), lambda w: F.struct(w["c"].alias("c"), w["u"].alias("u"), F.lit(None).cast("string").alias("group"))))
+    cuts = cut_places(weighed, lambda s, x, j: tokens_of(j["c"], j["u"]) > target, 0)
+    return F.transform(between_cuts(pieces, cuts, ""), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
 
 
 def paragraphs(text: Column, most: int = 1000) -> Column:

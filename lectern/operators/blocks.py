@@ -102,9 +102,9 @@ def overlap_tail(text: Column, budget: int) -> Column:
     return F.aggregate(F.reverse(sentences(text)), start, step, lambda s: trimmed(s["tail"])) if budget > 0 else F.lit("")
 
 
-def _piece(how: str, text: Column, size: Column, level: Column | int = 0, title: Column | str = "") -> Column:
-    """A part that the fold of :func:`chunks` takes; ``how`` says what becomes of it."""
-    of = {"level": level, "title": title}
+def _piece(how: str, text: Column, size: Column, level: Column | int = 0, title: Column | str = "", packs: Column | None = None) -> Column:
+    """A part that the fold of :func:`chunks` takes; ``how`` says what becomes of it. All packs of a table's rows are one."""
+    of = {"level": level, "title": title, "packs": F.lit(None).cast("array<string>") if packs is None else packs}
     return F.struct(F.lit(how).alias("how"), text.alias("text"), size.alias("size"), *[(v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in of.items()])
 
 
@@ -121,10 +121,10 @@ def table_pieces(text: Column, target: int, most: int, summary: bool) -> Column:
 
     def packs(t: Column) -> Column:
         groups = let(tables.group_index(t["cells"]), lambda g: F.when(g >= 0, F.transform(t["cells"], lambda r: F.coalesce(F.get(r, g), F.lit("")))))
-        packed = F.transform(tables.pack_rows(t["rows"], groups, t["top"], target, most), lambda p: _piece("row", p, F.lit(0).cast("long")))
+        packed = F.array(_piece("rows", F.lit(""), F.lit(0).cast("long"), packs=tables.pack_rows(t["rows"], groups, t["top"], target, most)))
         told = F.array(_piece("overview", tables.overview_text(t["header"], t["cells"]), F.lit(0).cast("long")))
         every = F.concat(F.filter(told, lambda p: p["text"].isNotNull()), packed) if summary else packed
-        return F.when(F.size(t["rows"]) > 0, every).otherwise(F.array(_piece("row", text, F.lit(0).cast("long"))))
+        return F.when(F.size(t["rows"]) > 0, every).otherwise(F.array(_piece("rows", F.lit(""), F.lit(0).cast("long"), packs=F.array(text))))
 
     return let(F.struct(lines.alias("lines"), head.alias("head")), pieces)
 
@@ -168,8 +168,11 @@ def chunks(text: Column, title: Column, *, target: int = 700, most: int = 800, o
 
         return let(trimmed(F.coalesce(s["text"], F.lit(""))), out)
 
-    def alone(s: Column, content: Column, kind: str, is_row: bool) -> Column:
-        done = F.when(content == "", s["done"]).otherwise(F.concat(s["done"], chunk(s, content, F.lit(kind), is_row)))
+    def alone(s: Column, contents: Column, kind: str, is_row: bool) -> Column:
+        path = F.transform(s["stack"], lambda x: x["title"])
+        held = F.filter(F.transform(contents, trimmed), lambda c: c != "")
+        each = F.transform(held, lambda c: F.struct(c.alias("content"), F.lit(kind).alias("chunk_type"), path.alias("heading_path"), F.lit(is_row).alias("is_table_row")))
+        done = F.concat(s["done"], each)
         return state(done=done, stack=s["stack"], text=F.lit(None).cast("string"), kinds=F.lit(0), size=F.lit(0).cast("long"), body=F.lit(False))
 
     def added(s: Column, p: Column, kind: int, body: bool) -> Column:
@@ -178,7 +181,7 @@ def chunks(text: Column, title: Column, *, target: int = 700, most: int = 800, o
         return state(done=s["done"], stack=stack, text=F.concat_ws("\n\n", s["text"], p["text"]), kinds=kinds, size=s["size"] + p["size"], body=F.lit(True) if body else s["body"])
 
     def standing(p: Column, kind: str) -> Callable[[Column], Column]:
-        return lambda s: alone(s, trimmed(p["text"]), kind, False)
+        return lambda s: alone(s, F.array(p["text"]), kind, False)
 
     def adding(p: Column, kind: int) -> Callable[[Column], Column]:
         return lambda s: added(s, p, kind, True)
@@ -191,12 +194,12 @@ def chunks(text: Column, title: Column, *, target: int = 700, most: int = 800, o
         above = F.coalesce(F.element_at(F.transform(s["stack"], lambda x: x["title"]), F.when(F.size(s["stack"]) > 0, -1)), title)
         headed = F.when(p["how"] == "overview", F.concat(F.when(above != "", F.concat(above, F.lit(" — "))).otherwise(""), p["text"])).otherwise(p["text"])
         out = F.when(p["how"] == "heading", let(freed(False, s["body"]), lambda t: added(t, p, _TEXT, False)))
-        out = out.when(p["how"].isin("row", "overview"), let(freed(False, s["body"]), lambda t: alone(t, trimmed(headed), "table", True)))
+        out = out.when(p["how"].isin("rows", "overview"), let(freed(False, s["body"]), lambda t: alone(t, F.coalesce(p["packs"], F.array(headed)), "table", True)))
         for kind in ("table", "code"):
             out = out.when(p["how"] == f"whole {kind}", let(freed(False, s["text"].isNotNull()), standing(p, kind)))
         for kind, bit in (("text", _TEXT), ("table", _TABLE), ("code", _CODE)):
             out = out.when(p["how"] == kind, let(freed(True, over), adding(p, bit)))
-        return out.cast(_STATE)
+        return out
 
     start = F.from_json(F.lit('{"done": [], "stack": [], "kinds": 0, "size": 0, "body": false}'), _STATE)
     return F.aggregate(F.flatten(F.transform(blocks(text), pieces)), start, step, lambda s: F.when(s["body"], flushed(s)["done"]).otherwise(s["done"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import estimate_tokens, let
+from ..functions.text import between_cuts, cut_places, let, tokens_of, weight
 
 SEPARATOR = r"^[\s|:-]*-[\s|:-]*$"
 #: Values of a column that a profile lists, at most.
@@ -50,7 +50,7 @@ def exploded(parsed: DataFrame, key: str) -> DataFrame:
 
 def profile(cells: DataFrame, key: str) -> DataFrame:
     """Per column: rows, filled and distinct values, changes from row to row (empty cells count), numbers and their range.
-    Changes are found per part of ``PART`` rows and across parts, so a long table is no single group."""
+    Changes are found per part of 4,096 rows and across parts, so a long table is no single group."""
     size = 4096
     part = Window.partitionBy(key, "col_idx", "part").orderBy("row_idx")
     marked = cells.withColumn("part", F.floor(F.col("row_idx") / size)).withColumn("prior", F.lag("value").over(part))
@@ -185,24 +185,20 @@ def clean_grid(rows: Column) -> Column:
 def pack_rows(rows: Column, groups: Column | None, header: Column, target: int, most: int) -> Column:
     """Packs of row lines (array<string>), each under ``header``. With ``groups`` (a value per row, or null for none) a pack ends
     where the value changes or ``most`` would be passed; without, where ``most`` would be passed or ``target`` is reached. A pack
-    holds a row at least."""
-    none = F.lit(None).cast("array<string>")
-    zipped = F.arrays_zip(rows.alias("line"), F.coalesce(groups if groups is not None else none, F.transform(rows, lambda r: F.lit(None).cast("string"))).alias("group"))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(None).cast("string").alias("group"))
+    holds a row at least. Rows are weighed once each: packs are cut by sums of weights."""
+    of_rows = groups if groups is not None else F.lit(None).cast("array<string>")
 
-    def under(lines: Column) -> Column:
-        return estimate_tokens(F.concat(header, F.lit("\n"), lines))
+    def packs(t: Column) -> Column:
+        def under(x: Column | dict[str, Column]) -> Column:
+            return tokens_of(t["top"]["c"] + x["c"], t["top"]["u"] + 1 + x["u"])
 
-    def step(s: Column, x: Column) -> Column:
-        joined = F.concat(s["now"], F.lit("\n"), x["line"])
-        full = F.when(x["group"].isNull(), under(s["now"]) >= target).otherwise(x["group"] != s["group"])
-        ends = (s["now"] != "") & (full | (under(joined) > most))
+        def ends(s: Column, x: Column, joined: dict[str, Column]) -> Column:
+            full = F.when(x["group"].isNull(), under(s) >= target).otherwise(x["group"] != s["group"])
+            return full | (under(joined) > most)
 
-        def taken(ended: Column) -> Column:
-            done = F.when(ended, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
-            return F.struct(done.alias("done"), F.when(ended | (s["now"] == ""), x["line"]).otherwise(joined).alias("now"), x["group"].alias("group"))
+        weighed = F.transform(t["rows"], lambda r, i: let(weight(r), lambda w: F.struct(w["c"].alias("c"), w["u"].alias("u"), F.get(t["groups"], i).alias("group"))))
+        return between_cuts(t["rows"], cut_places(weighed, ends, 1), "\n")
 
-        return let(ends, taken)
-
-    packs = F.aggregate(zipped, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
-    return F.transform(packs, lambda p: F.concat(header, F.lit("\n"), p))
+    # each once per table, not once per row
+    held = F.struct(rows.alias("rows"), of_rows.alias("groups"), weight(header).alias("top"))
+    return F.transform(let(held, packs), lambda p: F.concat(header, F.lit("\n"), p))

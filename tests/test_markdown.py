@@ -110,7 +110,7 @@ def test_shrink():
 
 
 def test_large_table(spark):
-    rows = "\n".join(f"| A{i} | c{i % 5} | {i} |" for i in range(20_000))
+    rows = "\n".join(f"| A{i} | c{i % 5} | {i} |" for i in range(150_000))
     docs = spark.createDataFrame([(1, "| m | c | n |\n| --- | --- | --- |\n" + rows)], "doc_id long, text string")
     out = B.chunk_markdown(docs, row_mode=True).collect()
-    assert sum(r.content.count("\n| A") for r in out) == 20_000
+    assert sum(r.content.count("\n| A") for r in out) == 150_000
