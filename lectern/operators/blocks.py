@@ -208,12 +208,16 @@ def chunks(text: Column, title: Column, *, target: int = 700, most: int = 800, o
 def chunk_markdown(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", title: Column | None = None, **options) -> DataFrame:
     """Chunks of each document with their ids and their neighbours' ids; see :func:`chunks` for the options."""
     made = chunks(F.coalesce(F.col(text_col), F.lit("")), title if title is not None else F.lit(""), **options)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), made.alias("made"))
-    rows = rows.select("id", F.size("made").alias("n"), F.posexplode("made").alias("chunk_index", "x")).select("id", "n", "chunk_index", "x.*")
+
+    def placed(m: Column) -> Column:
+        return F.transform(m, lambda x, i: F.struct(i.alias("chunk_index"), (i + 1 < F.size(m)).alias("more"), x.alias("x")))
+
+    # each chunk knows whether another follows, so that rows don't carry all of them
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.explode(let(made, placed)).alias("p")).select("id", "p.chunk_index", "p.more", "p.x.*")
     i, index = F.col("id"), F.col("chunk_index")
     return rows.select(
         "id", "chunk_index", "content", "chunk_type", "heading_path", "is_table_row", estimate_tokens(F.col("content")).cast("int").alias("token_estimate"),
-        chunk_id(i, index).alias("chunk_id"), F.when(index > 0, chunk_id(i, index - 1)).alias("prev_chunk_id"), F.when(index + 1 < F.col("n"), chunk_id(i, index + 1)).alias("next_chunk_id"),
+        chunk_id(i, index).alias("chunk_id"), F.when(index > 0, chunk_id(i, index - 1)).alias("prev_chunk_id"), F.when(F.col("more"), chunk_id(i, index + 1)).alias("next_chunk_id"),
     )
 
 
