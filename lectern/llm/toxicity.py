@@ -27,6 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .quality import scored, training_rows, training_table
 from .sketch import shingle_hashes
 
@@ -215,7 +216,7 @@ def fit_table(x: np.ndarray, y: np.ndarray) -> Linear:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", most: int = MOST_TRAINING) -> Model:
-    rows = training_rows(docs, labels, label, id_col, text_col, most)
+    rows = materialise(training_rows(docs, labels, label, id_col, text_col, most), "toxicity-training")  # at most ``most``, read thrice
     lexicon = Lexicon.of(mine(rows))
     return Model(lexicon, fit_table(*training_table(rows, lexicon.describe, lexicon.width, most)))
 
