@@ -242,23 +242,23 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes, str], str]
     return files.select("path", "content", "format").mapInPandas(batches, "path string, format string, markdown string, error string")
 
 
+def left_out(name: str, size: int, link: bool) -> str | None:
+    """Why a member of an archive isn't taken; null if it is."""
+    base, ext = name.rpartition("/")[2], name.lower().rpartition(".")[2]
+    if link:
+        return "link"
+    if base.startswith((".", "~$")) or "__MACOSX" in name or base in ("Thumbs.db", "desktop.ini"):
+        return "junk"
+    if ext in ("zip", "tar", "gz", "tgz", "rar", "7z"):
+        return "archive"
+    return "unsupported" if not any(ext in known for kind, known in FORMATS.items() if kind != "archive") else "empty" if not size else None
+
+
 def expand_archives(files: DataFrame) -> DataFrame:
     """(archive, name, size, content, skipped): members of each archive; those left out say why and have no content.
 
     Links, junk, nested archives, unsupported and empty members are skipped; at most ``MOST_FILES`` members and ``MOST_BYTES``.
     """
-    kinds = {e for name, known in FORMATS.items() if name != "archive" for e in known}
-
-    def reason(name: str, size: int, link: bool) -> str | None:
-        base, ext = name.rpartition("/")[2], name.lower().rpartition(".")[2]
-        if link:
-            return "link"
-        if base.startswith((".", "~$")) or "__MACOSX" in name or base in ("Thumbs.db", "desktop.ini"):
-            return "junk"
-        if ext in ("zip", "tar", "gz", "tgz", "rar", "7z"):
-            return "archive"
-        return "unsupported" if ext not in kinds else "empty" if not size else None
-
     def members(content: bytes) -> Iterator[tuple[str, int, bool, Callable[[], bytes]]]:
         if zipfile.is_zipfile(io.BytesIO(content)):
             with zipfile.ZipFile(io.BytesIO(content)) as z:
@@ -277,7 +277,7 @@ def expand_archives(files: DataFrame) -> DataFrame:
                 taken, room, rows = 0, MOST_BYTES, []
                 try:
                     for name, size, link, read in members(content):
-                        why = reason(name, size, link) or ("too many" if taken >= MOST_FILES else "too large" if size > room else None)
+                        why = left_out(name, size, link) or ("too many" if taken >= MOST_FILES else "too large" if size > room else None)
                         if why is None:
                             taken, room = taken + 1, room - size
                         rows.append((path, name, size, read() if why is None else None, why))
