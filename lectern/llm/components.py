@@ -12,6 +12,8 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
     """One half round over links (u, v) with u > v: neighbours are hung under the least of each neighbourhood."""
     sides = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
     least = sides.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    # apart from the join, so that Spark may split the links of a hub
+    least = materialise(least, "least-neighbours")
     met = sides.join(least, "u")
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -23,8 +25,8 @@ def _starred(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): for every node of ``links`` (a, b) that isn't its component's least node, that least node.
 
-    Nodes may be of any ordered type. Each round is written to the shared folder and halves the depth of the trees at least;
-    a hub is never gathered in one group: its least neighbour is aggregated before the shuffle and joined back.
+    Nodes may be of any ordered type. Each round is written to the shared folder and halves the depth of the trees at least. A hub's
+    least neighbour is aggregated before the shuffle and written; its links join that one row from a table, where Spark splits them.
     Links to null and from a node to itself say nothing. No link gives no row.
     """
     now = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()

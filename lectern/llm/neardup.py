@@ -94,8 +94,8 @@ def _rooted(marked: DataFrame, radius: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id): every document's fingerprint and the least id that links reach from it, itself included."""
     marked = materialise(with_fingerprints(docs, id_col, text_col), "fingerprints")
-    rooted = _rooted(marked, radius)
-    first = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = materialise(_rooted(marked, radius), "fingerprint-roots")
+    first = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "component-ids")  # a giant component's rows may be split
     named = materialise(rooted.join(first, "root").select("fp", "component_id"), "fingerprint-components")
     return marked.join(named, "fp").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
