@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,8 +25,6 @@ MOST_ROWS = 400
 
 def row_guard(chunks: DataFrame, most: int = MOST_ROWS) -> Column:
     """Whether a chunk of ``chunks`` (id, is_table_row) may have a written prefix: rows of documents with very many have none."""
-    from pyspark.sql import Window
-
     rows = F.count_if("is_table_row").over(Window.partitionBy("id"))
     return ~F.col("is_table_row") | (rows <= most)
 

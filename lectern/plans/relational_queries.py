@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
+from ..operators import prompts as P
 from ..operators import relational as R
 from .registry import Tables, query
 
@@ -173,3 +174,14 @@ def first_per_group(t: Tables):
 @query("""SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority IS NOT NULL""")
 def state_filter(t: Tables):
     return t.orders.where(F.col("o_orderstatus").isin("O", "P") & F.col("o_orderpriority").isNotNull()).select("o_orderkey")
+
+
+@query("""WITH n AS (SELECT max(ts) AS now FROM events), last AS (SELECT user_id, max(ts) AS sent, count(*) FILTER (WHERE event_type = 'click') AS attempts FROM events GROUP BY 1)
+SELECT user_id, sent > now - INTERVAL 60 SECOND AS waits, CASE WHEN sent + INTERVAL 600 SECOND < now OR attempts >= 5 THEN 'expired' WHEN user_id % 3 = 0 THEN 'wrong' ELSE 'ok' END AS answer FROM last, n""")
+def code_checks(t: Tables):
+    """One-time codes, as though each user's last event had sent one and each click had tried it; a third of the users enter another."""
+    now = t.events.agg(F.max("ts").alias("now"))
+    last = t.events.groupBy("user_id").agg(F.max("ts").alias("sent"), F.count_if(F.col("event_type") == "click").alias("attempts")).crossJoin(F.broadcast(now))
+    code = F.when(F.col("user_id") % 3 == 0, "other").otherwise(F.col("user_id").cast("string"))
+    answer = P.check_code(F.sha2(F.col("user_id").cast("string"), 256), P.expires(F.col("sent")), F.col("attempts"), code, F.col("now"))
+    return last.select("user_id", P.in_cooldown(F.col("sent"), F.col("now")).alias("waits"), answer.alias("answer"))

@@ -226,6 +226,22 @@ def hits_to_pages(t: Tables):
     return S.hits_to_pages(t.index().keyword_search(asked(t), 10), pages_of_documents(t))
 
 
+CLAMPED = "WHERE id IN (SELECT doc_id FROM documents WHERE lang IN ('en', 'fr') AND source IN ('src1', 'src2'))"
+
+
+@query(f"""WITH {STATS}, {terms(ASKED)}, {SCORES.format(where=CLAMPED)}, {RANKED.format(name='kw', scores='scores')}, met AS (SELECT query_id, id // 10 AS page_id, min(rank) AS best FROM kw WHERE rank <= 10 AND id % 10 <> 3 GROUP BY 1, 2) SELECT query_id, page_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY best, page_id) AS INTEGER) AS rank FROM met""")
+def grep_clamped(t: Tables):
+    """Pages with a keyword, of the documents asked for that are allowed: the scope is what both have in common."""
+    allowed, wanted = t.documents.where("lang IN ('en', 'fr')").select("doc_id"), t.documents.where("source IN ('src1', 'src2')").select("doc_id")
+    return S.hits_to_pages(t.index().keyword_search(asked(t), 10, scope=wanted.join(allowed, "doc_id", "left_semi")), pages_of_documents(t))
+
+
+@query()
+def retrieve_chunks(t: Tables):
+    """From documents to chunks: chunked, embedded and indexed once; the hybrid ranking of each fiftieth document's first line."""
+    return t.knowledge().retrieve(asked(t))
+
+
 BY_ITEM = f"WITH {STATS}, {terms('SELECT item_id AS query_id, text AS query FROM benchmark')}, {SCORES.format(where='')}, {RANKED.format(name='kw', scores='scores')}"
 CASES = """cases AS (SELECT item_id AS case_id, unnest([string_split(text, ' ')[1] || ' ' || string_split(text, ' ')[2], string_split(text, ' ')[3], 'nowhere at all']) AS span FROM benchmark),
 spans AS (SELECT DISTINCT case_id, span FROM cases),

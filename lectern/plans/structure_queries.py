@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import knowledge as K
+from ..operators import prompts as O
 from ..operators import pages as P
 from ..operators import tables as M
 from .registry import Tables, query
@@ -193,15 +195,12 @@ def heading_inserts(t: Tables):
     return B.apply_inserts(docs, inserts).withColumnRenamed("id", "doc_id")
 
 
-@query("""SELECT conv_id, turn, count(*) FILTER (WHERE turn % 2 = 0) OVER (PARTITION BY conv_id) <= 3 AS uses_model FROM conversations""")
+@query("""SELECT conv_id, turn, turn % 2 <> 0 OR count(*) FILTER (WHERE turn % 2 = 0) OVER (PARTITION BY conv_id) <= 3 AS uses_model FROM conversations""")
 def row_guard(t: Tables):
-    rows = F.count_if(F.col("turn") % 2 == 0).over(Window.partitionBy("conv_id"))
-    return t.conversations.select("conv_id", "turn", (rows <= 3).alias("uses_model"))
+    rows = t.conversations.select("turn", F.col("conv_id").alias("id"), (F.col("turn") % 2 == 0).alias("is_table_row"))
+    return rows.select(F.col("id").alias("conv_id"), "turn", K.row_guard(rows, 3).alias("uses_model"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) / 4.0 > 500 THEN '【' || source || ' 第1页 · ' || lang || '】' || chr(10) || left(text, greatest(1, CAST(floor(length(text) * CAST(500 AS DOUBLE) / ceil(length(text) / 4.0)) AS INTEGER))) || '…' ELSE '【' || source || ' 第1页 · ' || lang || '】' || chr(10) || text END AS page FROM documents""")
 def page_render(t: Tables):
-    size = T.estimate_tokens(F.col("text"))
-    head = F.concat(F.lit("【"), "source", F.lit(" 第1页 · "), "lang", F.lit("】\n"))
-    cut = F.greatest(F.lit(1), F.floor(F.length("text") * F.lit(500.0) / size).cast("int"))
-    return t.documents.select("doc_id", F.when(size > 500, F.concat(head, F.left("text", cut), F.lit("…"))).otherwise(F.concat(head, "text")).alias("page"))
+    return t.documents.select("doc_id", O.page_text(F.col("source"), F.lit(1), F.col("lang"), F.col("text"), 500).alias("page"))

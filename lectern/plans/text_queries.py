@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import prompts as M
 from ..functions import vectors as V
 from ..sources.files import extension, file_format, mount_name, plain_text
 from .registry import Tables, query
@@ -84,28 +85,23 @@ def citation_strip(t: Tables):
 
 @query("""SELECT conv_id, '【资料】' || chr(10) || chr(10) || string_agg('[' || CAST(turn + 1 AS VARCHAR) || ']（' || role || '）' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, role, text) AS block FROM conversations GROUP BY conv_id""")
 def citation_block(t: Tables):
-    part = F.struct("turn", "role", "text", F.concat(F.lit("["), F.col("turn") + 1, F.lit("]（"), "role", F.lit("）\n"), "text").alias("s"))
-    parts = F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"])
-    return t.conversations.groupBy("conv_id").agg(F.concat(F.lit("【资料】\n\n"), F.array_join(parts, "\n\n")).alias("block"))
+    return M.source_blocks(t.conversations, "conv_id", ["turn", "role", "text"], F.col("turn") + 1, F.col("role"), F.col("text"))
 
 
 @query("""SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN '用户：' ELSE '助手：' END || text, chr(10) ORDER BY turn, role, text) AS transcript FROM conversations GROUP BY conv_id""")
 def transcript(t: Tables):
-    line = F.concat(F.when(F.col("role") == "user", "用户：").otherwise("助手："), "text")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", line.alias("s")))), lambda x: x["s"])
-    return t.conversations.groupBy("conv_id").agg(F.array_join(lines, "\n").alias("transcript"))
+    return M.transcripts(t.conversations, "conv_id", ["turn", "role", "text"], F.col("role"), F.col("text"))
 
 
 @query("""SELECT conv_id, left(first(text ORDER BY turn, role, text), 20) AS title FROM conversations GROUP BY conv_id""")
 def conversation_title(t: Tables):
-    return t.conversations.groupBy("conv_id").agg(F.left(F.min_by("text", F.struct("turn", "role", "text")), F.lit(20)).alias("title"))
+    return M.conversation_titles(t.conversations, "conv_id", ["turn", "role", "text"], F.col("text"))
 
 
 @query("""SELECT doc_id, concat_ws(chr(10), CASE WHEN source <> 'src0' THEN '用途：' || left(source, 300) END, CASE WHEN doc_id % 2 = 0 THEN '补充：' || left(text, 300) END) AS context FROM documents""")
 def group_context(t: Tables):
-    purpose = F.when(F.col("source") != "src0", F.concat(F.lit("用途："), F.left("source", F.lit(300))))
-    notes = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("补充："), F.left("text", F.lit(300))))
-    return t.documents.select("doc_id", F.concat_ws("\n", purpose, notes).alias("context"))
+    purpose, notes = F.when(F.col("source") != "src0", F.col("source")), F.when(F.col("doc_id") % 2 == 0, F.col("text"))
+    return t.documents.select("doc_id", M.group_context(purpose, notes).alias("context"))
 
 
 @query("""SELECT doc_id, lang AS doc, CAST(doc_id AS INTEGER) AS page FROM documents""")
