@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, estimate_tokens, let, trimmed
+from ..functions.text import CJK, let, tokens_of, trimmed, weight
 from .blocks import segments
 
 WHOLE = "全文"
@@ -131,9 +131,12 @@ def shrink(text: str, budget: int, level: int, depth: int = 0) -> list[str]:
 
 
 def sections(text: Column) -> Column:
-    """(level, pages) as a struct: the level at which a document is cut, and its sections there as array<struct<title, content, path>>.
+    """(level, pages) as a struct: the level at which a document is cut, and its sections there as array<struct<title, content, path, weight>>.
     The first holds what stands before it. A text without headings is one page."""
-    whole = F.struct(F.lit(WHOLE).alias("title"), trimmed(text).alias("content"), F.array().cast("array<string>").alias("path"))
+    def weighed(title: Column, content: Column, path: Column) -> Column:
+        return let(content, lambda c: F.struct(title.alias("title"), c.alias("content"), path.alias("path"), weight(c).alias("weight")))
+
+    whole = weighed(F.lit(WHOLE), trimmed(text), F.array().cast("array<string>"))
     place = "array<struct<place:int,title:string,path:array<string>>>"
 
     def levelled(parts: Column) -> Column:
@@ -161,7 +164,7 @@ def sections(text: Column) -> Column:
             first = F.when(i == 0, 0).otherwise(c["place"])
             last = F.coalesce(F.get(cuts, i + 1)["place"], F.size(x["parts"]))
             raw = F.array_join(F.transform(F.slice(x["parts"], first + 1, last - first), lambda s: s["raw"]), "")
-            return F.struct(c["title"].alias("title"), trimmed(raw).alias("content"), c["path"].alias("path"))
+            return weighed(c["title"], trimmed(raw), c["path"])
 
         found = F.when(x["level"].isNull(), F.array(whole)).otherwise(F.transform(cuts, page))
         return F.struct(F.coalesce(x["level"], F.lit(0)).alias("level"), F.filter(found, lambda p: p["content"] != "").alias("pages"))
@@ -169,16 +172,24 @@ def sections(text: Column) -> Column:
     return let(segments(text), levelled)
 
 
+def size_of(page: Column) -> Column:
+    """A page's tokens, from its weight."""
+    return tokens_of(page["weight"]["c"], page["weight"]["u"])
+
+
 def merge_short(pages: Column, least: int) -> Column:
-    """Pages below ``least`` tokens join the next one, the last one the page before; the longer side gives title and path."""
+    """Pages below ``least`` tokens join the next one, the last one the page before; the longer side gives title and path. A page is
+    weighed once: weights add up."""
     none = F.filter(pages, lambda p: F.lit(False))
 
     def joined(a: Column, b: Column) -> Column:
-        larger = F.when(estimate_tokens(b["content"]) > estimate_tokens(a["content"]), b).otherwise(a)
-        return let(larger, lambda x: F.struct(x["title"].alias("title"), F.concat(a["content"], F.lit("\n\n"), b["content"]).alias("content"), x["path"].alias("path")))
+        larger = size_of(b) > size_of(a)
+        weight = F.struct((a["weight"]["c"] + b["weight"]["c"]).alias("c"), (a["weight"]["u"] + b["weight"]["u"] + 2).alias("u"))
+        title, path = (F.when(larger, b[c]).otherwise(a[c]).alias(c) for c in ("title", "path"))
+        return F.struct(title, F.concat(a["content"], F.lit("\n\n"), b["content"]).alias("content"), path, weight.alias("weight"))
 
     def short(p: Column) -> Column:
-        return estimate_tokens(p["content"]) < least
+        return size_of(p) < least
 
     def step(s: Column, p: Column) -> Column:
         grows = s["now"].isNotNull() & short(s["now"])
@@ -220,7 +231,7 @@ def paginate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kept = merge_short(F.col("s.pages"), least) if least > 0 else F.col("s.pages")
     rows = rows.select("id", "s.level", kept.alias("pages"))
     # only what is too long goes to Python
-    rows = rows.withColumn("parts", shrunk(F.transform("pages", lambda p: F.when(estimate_tokens(p["content"]) > most, p["content"])), "level"))
+    rows = rows.withColumn("parts", shrunk(F.transform("pages", lambda p: F.when(size_of(p) > most, p["content"])), "level"))
 
     def of_page(p: Column, i: Column) -> Column:
         parts = F.coalesce(F.get("parts", i), F.array(p["content"]))
