@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Extensions by parser.
@@ -311,6 +311,29 @@ def merge_visual_lines(lines: list[str]) -> list[str]:
     return out
 
 
+def merge_lines(lines: DataFrame, keys: list[str], order: str = "line_no", line: str = "line") -> DataFrame:
+    """(keys, paragraph, text): as :func:`merge_visual_lines`, of the lines of many pages at once; paragraphs count from 0 per page."""
+    text = F.regexp_replace(line, r"^\s+|\s+$", "")
+    rows = lines.select(*keys, order, text.alias("__line")).where("__line != ''").withColumn("__size", F.length("__line"))
+    page = Window.partitionBy(*keys)
+    place = F.row_number().over(page.orderBy("__size", order))
+    n = F.count("*").over(page)
+    rows = rows.withColumn("__place", place).withColumn("__n", n)
+    typical = F.max(F.when(F.col("__place") == F.least(F.floor(F.col("__n") * 0.75), F.col("__n") - 1) + 1, F.col("__size"))).over(page)
+    rows = rows.withColumn("__typical", typical).withColumn("__before", F.lag("__line").over(page.orderBy(order)))
+    goes_on = (
+        F.col("__before").isNotNull()
+        & ~F.rlike("__line", F.lit(r"^([-*•·●▪◦]|\(?\d+[.)、])\s*\S"))
+        & ~F.rlike("__before", F.lit("[。！？；：.!?;:]$"))
+        & (F.length("__before") >= F.col("__typical") * 0.75)
+    )
+    tight = F.rlike("__before", F.lit("[㐀-鿿]$")) & F.rlike("__line", F.lit("^[㐀-鿿]"))
+    rows = rows.withColumn("__on", goes_on).withColumn("__piece", F.when(F.col("__on") & ~tight, F.concat(F.lit(" "), "__line")).otherwise(F.col("__line")))
+    starts = F.sum((~F.col("__on")).cast("int")).over(page.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - 1
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct(order, "__piece"))), lambda x: x["__piece"])
+    return rows.withColumn("paragraph", starts.cast("int")).groupBy(*keys, "paragraph").agg(F.array_join(pieces, "").alias("text"))
+
+
 def looks_scanned(pages: DataFrame, doc: str) -> DataFrame:
     """(doc, scanned) from page statistics (chars, junk, cid, unmapped: ratios): means weighted by length."""
     weight = F.greatest(F.sum("chars"), F.lit(1))
