@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lectern.llm import license_scan, neardup, packing, secret_scan
+from lectern.llm import decontaminate, fill_middle, license_scan, neardup, packing, phrases, secret_scan
 from lectern.llm.packing import public_byte_bpe
 
 from .conftest import ODD
@@ -69,7 +69,12 @@ def test_packing_stage(spark, odd, folder):
     assert all(r.offset + r.length <= 1024 for r in out)
 
 
-@pytest.mark.parametrize("operator", [secret_scan.scan, license_scan.scan, neardup.near_duplicates])
+def overlaps(docs):
+    items = docs.sparkSession.createDataFrame([("long", " ".join(f"only{i}" for i in range(199_000, 200_000))), ("none", None)], "item_id string, text string")
+    return decontaminate.overlaps(docs, items)
+
+
+@pytest.mark.parametrize("operator", [secret_scan.scan, license_scan.scan, neardup.near_duplicates, fill_middle.fill_middle, overlaps])
 def test_one_row_each_with_null_ids_and_clashes(odd, operator):
     out = operator(odd)
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.select("doc_id").collect()) == sorted((i is None, i or 0) for i in IDS + IDS[:2])
@@ -78,3 +83,14 @@ def test_one_row_each_with_null_ids_and_clashes(odd, operator):
 def test_packing_null_ids(odd):
     ids = {r.doc_id for r in packing.pack(odd, public_byte_bpe).select("doc_id").distinct().collect()}
     assert ids == set(IDS)
+
+
+def test_long_text_is_read_whole(odd):
+    """The item's thousand words stand at the end of a text of 200,000."""
+    found = overlaps(odd).where("size(spans) > 0").collect()
+    assert [[(s.start, s.end) for s in r.spans] for r in found] == [[(199_000, 200_000)]]
+
+
+def test_phrases_of_odd_documents(odd):
+    got = {(r.lang, r.phrase): r.a for r in phrases.collocations(odd).collect()}
+    assert got["en", "a b c d"] == 400 and got["en", "j a b c"] == 399 and all(len(p.split()) == 4 for _, p in got)
