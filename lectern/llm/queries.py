@@ -33,7 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables hold no images: those of this query are pictures of the pages that the texts of ``documents`` fill."""
+    """The tables hold no images: those of this query are pictures of the texts of ``documents``, a row of pixels per word."""
     return media.copies(media.page_pictures(documents(spark, sf_dir))).withColumnRenamed("image_id", "doc_id")
 
 
