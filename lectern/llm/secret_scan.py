@@ -53,6 +53,9 @@ MORE = (
     Rule("url_login", r"://[A-Za-z0-9_.-]{1,64}:[A-Za-z0-9_.!$%*+-]{4,64}@"),
 )
 
+#: Matches of a text that are measured together.
+RUN = 256
+
 Query = frozenset  # of alternatives, each a frozenset of trigrams that must all be there
 
 
@@ -137,12 +140,15 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def _spans(text: Column, rule: Rule, place: int) -> Column:
-    """array<struct<start, place, kind, end>> of a rule's matches that are long enough, in code points."""
+    """array<struct<start, place, kind, end>> of a rule's matches that are long enough, in code points. Matches are measured in runs of
+    ``RUN``, each from its own start, which are then moved by the length of those before: no array is copied once per match."""
     pattern = F.lit(rule.pattern)
     found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, rule.pattern, -1)
     measured = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     steps = F.arrays_zip(found.alias("found"), F.slice(between, 1, F.size(found)).alias("before"), measured.alias("measured"))
-    none = F.array().cast("array<struct<start:bigint,place:int,kind:string,end:bigint>>")
+    span = "struct<start:bigint,place:int,kind:string,end:bigint>"
+    none, runs = F.array().cast(f"array<{span}>"), F.array().cast(f"array<array<{span}>>")
+    zero = F.lit(0).cast("bigint").alias("at")
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["before"])
@@ -151,8 +157,17 @@ def _spans(text: Column, rule: Rule, place: int) -> Column:
         keeps = F.when(F.length(x["measured"]) >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.alias("at"), keeps.alias("spans"))
 
-    first = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, first, step, lambda s: s["spans"])).otherwise(none)
+    def move(state: Column, run: Column) -> Column:
+        at = state["at"]
+        moved = F.transform(run["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["place"].alias("place"), s["kind"].alias("kind"), (s["end"] + at).alias("end")))
+        return F.struct((at + run["at"]).alias("at"), F.concat(state["runs"], F.array(moved)).alias("runs"))
+
+    def measure(steps: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(steps), F.lit(RUN))
+        measures = F.transform(starts, lambda i: F.aggregate(F.slice(steps, i, F.lit(RUN)), F.struct(zero, none.alias("spans")), step))
+        return F.aggregate(measures, F.struct(zero, runs.alias("runs")), move, lambda s: F.flatten(s["runs"]))
+
+    return F.when(F.size(found) > 0, let(steps, measure)).otherwise(none)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import license_scan, queries, secret_scan
@@ -46,6 +47,15 @@ def test_secret_spans_equal_brute_force(docs, sample):
         assert sorted(out[i].spans.split(",")) == sorted(x for x in (spans_of(text) + more or [""]))
 
 
+@pytest.mark.parametrize("count", [255, 256, 257, 30_000])
+def test_many_secrets_in_one_text(docs, count):
+    """Runs of matches meet without a gap, and the time of a text grows as its matches."""
+    text = "".join(f"é secret={'k' * (i % 5 + 9)}{i:05d}\n{i:020x} " for i in range(count))
+    row = secret_scan.scan(docs([text])).select(secret_scan.listed(F.col("base")).alias("base")).first()
+    want = sorted((a, place, z) for place, rule in enumerate(secret_scan.BASE) for _, a, z in secret_scan.matches_in(text, rule))
+    assert row.base.split(",") == [f"{secret_scan.BASE[place].kind}:{a}:{z}" for a, place, z in want] and len(want) == 2 * count
+
+
 def test_secret_query_counts(spark, docs, tmp_path):
     docs(SECRETS).withColumn("key", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     for r in queries.op6_secrets(spark, str(tmp_path)).collect():
