@@ -18,6 +18,15 @@ def test_held_out_accuracy(spark, query, label, accuracy):
     assert np.mean([r.predicted == r[label] for r in rows]) >= accuracy
 
 
+def test_held_out_toxic_documents_are_found(spark):
+    """Of held-out toxic documents nine in ten are found, and four in five of those found are toxic."""
+    folder = SF.replace("0.01", "0.1")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic IS NOT NULL").select("doc_id", "toxic")
+    rows = op3_toxicity(spark, folder).where("held_out").join(labels, "doc_id").select("predicted", "toxic").collect()
+    caught = sum(r.predicted and r.toxic for r in rows)
+    assert caught >= 0.9 * sum(r.toxic for r in rows) > 0 and caught >= 0.8 * sum(r.predicted for r in rows)
+
+
 def test_forest_equals_walk():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(500, 5)).round(1)
