@@ -80,6 +80,14 @@ def test_large_buckets_lose_no_pair(spark):
         assert {(r.a, r.b) for r in neardup.near_pairs(frame, 4, most=most).collect()} == want
 
 
+def test_buckets_are_not_broadcast(spark):
+    """A table of few bytes is 31 times as large when dealt to buckets: these meet by shuffles, not in the driver's memory."""
+    fps = neardup.materialise(spark.range(100).select(F.col("id").alias("fp")), "few-fingerprints")
+    for most, joins in ((10_000, 1), (2, 3)):
+        plan = neardup.near_pairs(fps, 4, most=most)._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("SortMergeJoin [table") == joins
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(100)] + [(1000, i) for i in range(1001, 1100)] + [(5, 5), (None, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
