@@ -3,6 +3,7 @@
 import pytest
 
 import corpus_pipeline
+from lectern.llm import neardup
 from lectern.llm.packing import public_byte_bpe
 
 from .test_lines import brute
@@ -82,3 +83,12 @@ def test_run_equals_its_stages(spark, stages):
     _, rows, folder = stages
     out = corpus_pipeline.run(spark, folder).collect()
     assert sum(r.length for r in out) == sum(r.length for r in rows[-1])
+
+
+def test_near_dedup_broadcasts_no_buckets(stages, spark, monkeypatch):
+    """What the stage deals to buckets is 31 times its fingerprints, and isn't built in the driver's memory."""
+    _, _, folder = stages
+    plans, whole = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda links: plans.append(links._jdf.queryExecution().sparkPlan().toString()) or whole(links))
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, spark.read.parquet(f"{folder}/line_dedup"), folder)
+    assert kept.count() and plans[0].count("SortMergeJoin [table") == 1 and "BroadcastHashJoin [table" not in plans[0]
