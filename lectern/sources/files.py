@@ -47,10 +47,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("format", file_format(F.col("path")))
 
 
-def plain_text(text: Column) -> Column:
-    """Without a byte order mark, line ends as \\n, trimmed; empty texts are null."""
-    bare = F.regexp_replace(F.regexp_replace(text, "^\N{ZERO WIDTH NO-BREAK SPACE}", ""), r"\r\n?", "\n")
-    return F.nullif(F.regexp_replace(bare, r"^\s+|\s+$", ""), F.lit(""))
+def plain_text(text: Column, *, ends: str = r"\r\n?", blanks: str = " \t\n\v\f\r") -> Column:
+    """Without a byte order mark, line ends (``ends``, a pattern) as \\n, trimmed of ``blanks``; empty texts are null."""
+    bare = F.regexp_replace(F.regexp_replace(text, "^\N{ZERO WIDTH NO-BREAK SPACE}", ""), ends, "\n")
+    return F.nullif(F.btrim(bare, F.lit(blanks)), F.lit(""))
 
 
 def decoded(content: bytes) -> str:

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import prompts as P
+from lectern.plans import catalogue
 from lectern.sources import files
 
 from . import plain_markdown as plain
+from .compare import connect, difference
 
 
 def paragraphs(text, most):
@@ -81,3 +83,16 @@ def test_page_text_is_cut_in_proportion(spark):
     rows = spark.createDataFrame([("x" * 400,), ("汉" * 50,), ("short",)], "t string")
     got = [r.p for r in rows.select(P.page_text(F.lit("D"), F.lit(3), F.lit("T"), F.col("t"), 20).alias("p")).collect()]
     assert got == ["【D 第3页 · T】\n" + "x" * 80 + "…", "【D 第3页 · T】\n" + "汉" * 20 + "…", "【D 第3页 · T】\nshort"]
+
+
+def test_plain_text_of_odd_documents_equals_sql(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [None, "", " ", "\r", "\t a\t", "a\r\nb", "a\rb", "\r\r\n", "\ufeff\ufeffa", "a \x85", "\u3000a ", "a\x0b"]
+    texts += ["".join(rng.choice(["a", " ", "\n", "\r", "\r\n", "\t", "\ufeff", "\u2028"]) for _ in range(rng.randrange(12))) for _ in range(500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toPandas().to_parquet(tmp_path / "documents.parquet")
+    assert difference(catalogue.queries()["plain_text_load"](spark, str(tmp_path)), connect(str(tmp_path)), catalogue.oracle_sql()["plain_text_load"]) == ""
+
+
+def test_plain_text_of_files(spark):
+    rows = spark.createDataFrame([("\ufeff a\r\nb\rc\t\r\n",), (" \r\n\t",), (None,)], "t string")
+    assert [r[0] for r in rows.select(files.plain_text(F.col("t"))).collect()] == ["a\nb\nc", None, None]
