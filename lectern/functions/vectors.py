@@ -56,6 +56,8 @@ def hashed(tokens: Column, width: int = 64) -> Column:
     return summed(places, signs)
 
 
+#: Scores that are looked through at once.
+SCORES = 1 << 19
 #: Columns of a block: how many vectors, their ids, and their unit vectors as one matrix.
 PACKED = ("n", "ids", "matrix")
 
@@ -78,14 +80,59 @@ def packed(rows: DataFrame, most: int | None = None) -> DataFrame:
     return rows.mapInArrow(batches, f"n int, ids array<{kind}>, matrix binary")
 
 
-def first_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best of one query, ties by id."""
-    keys = np.round(scores, 6)
-    if len(keys) > k:
-        held = np.flatnonzero(keys >= np.partition(keys, len(keys) - k)[len(keys) - k])
-        keys, scores, ids = keys[held], scores[held], ids[held]
-    order = np.lexsort((ids, -keys))[:k]
-    return scores[order], ids[order]
+class Leading:
+    """The ``k`` best of each of ``n`` queries among what was added: by score rounded to six digits, ties by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.scores, self.ids = max(1, k), np.zeros((0, max(1, k))), np.zeros((0, max(1, k)), np.int64)
+        self.seen = False
+        self.grow(n)
+
+    def grow(self, n: int) -> None:
+        more = n - len(self.scores)
+        if more > 0:
+            self.scores = np.concatenate((self.scores, np.full((more, self.k), -np.inf)))
+            self.ids = np.concatenate((self.ids, np.zeros((more, self.k), self.ids.dtype)))
+
+    def least(self) -> np.ndarray:
+        """The k-th score of each query so far; -inf where there are fewer."""
+        return self.scores[:, -1]
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """``scores`` of distinct ``queries`` (rows) for ``ids`` (columns); -inf where there is none."""
+        k = self.k
+        least = self.least()[queries]
+        hit = scores > np.where(np.isinf(least), -np.finfo(float).max, least - 2e-6)[:, None]
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 2 * k)
+        if len(many):  # of these none below the k-th of its row can stay
+            keys = np.round(scores[many], 6)
+            hit[many] &= keys >= np.partition(keys, keys.shape[1] - k, axis=1)[:, -k, None]
+        row, column = np.nonzero(hit)
+        if not len(row):
+            return
+        touched, row = np.unique(row, return_inverse=True)
+        mine = queries[touched]
+        held = np.isfinite(self.scores[mine])
+        kept = np.nonzero(held)[0]
+        kind = np.promote_types(self.ids.dtype, ids.dtype) if self.seen else ids.dtype
+        self.seen = True
+        if kind != self.ids.dtype:
+            self.ids = self.ids.astype(kind)
+        every = np.concatenate((kept, row))
+        value = np.concatenate((self.scores[mine][held], scores[touched[row], column]))
+        name = np.concatenate((self.ids[mine][held], ids[column]))
+        order = np.lexsort((name, -np.round(value, 6), every))
+        every, value, name = every[order], value[order], name[order]
+        place = np.arange(len(every)) - np.flatnonzero(np.diff(every, prepend=-1))[every]
+        first = place < k
+        new, named = np.full((len(mine), k), -np.inf), np.zeros((len(mine), k), self.ids.dtype)
+        new[every[first], place[first]], named[every[first], place[first]] = value[first], name[first]
+        self.scores[mine], self.ids[mine] = new, named
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, score, id) of all that lead, best first."""
+        query, place = np.nonzero(np.isfinite(self.scores))
+        return query, self.scores[query, place], self.ids[query, place]
 
 
 def nearest(pairs: DataFrame, k: int, query_type: str, id_type: str, held: int = 64) -> DataFrame:
@@ -94,26 +141,27 @@ def nearest(pairs: DataFrame, k: int, query_type: str, id_type: str, held: int =
     schema = f"query_id {query_type}, id {id_type}, score double"
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+        best: dict[tuple, Leading] = {}
 
         def given(key: tuple) -> pa.RecordBatch:
-            found = best.pop(key)
-            sizes = [len(s) for s, _ in found]
-            queries = pa.array(np.repeat(np.array(key), sizes).tolist(), query_arrow)
-            return pa.RecordBatch.from_arrays([queries, pa.array(np.concatenate([i for _, i in found]).tolist(), id_arrow), pa.array(np.concatenate([s for s, _ in found]), pa.float64())], ["query_id", "id", "score"])
+            place, scores, ids = best.pop(key).rows()
+            queries = [key[i] for i in place.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(queries, query_arrow), pa.array(ids.tolist(), id_arrow), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
 
         query_arrow = id_arrow = pa.int64()
         for part in parts:
             query_arrow, id_arrow = (part.schema.field(c).type.value_type for c in ("query_ids", "row_ids"))
             for r in part.to_pylist():
                 rows, asked = (np.frombuffer(r[f"{x}_matrix"]).reshape(r[f"{x}_n"], -1) for x in ("row", "query"))
-                key, ids, scores = tuple(r["query_ids"]), np.array(r["row_ids"]), rows @ asked.T
-                some = [first_of(scores[:, j], ids, k) for j in range(len(key))]
-                if key in best:
-                    some = [first_of(np.concatenate((a, c)), np.concatenate((b, d)), k) for (a, b), (c, d) in zip(best[key], some, strict=True)]
-                elif len(best) >= held:
-                    yield given(next(iter(best)))
-                best[key] = some
+                key, ids = tuple(r["query_ids"]), np.array(r["row_ids"])
+                if key not in best:
+                    if len(best) >= held:
+                        yield given(next(iter(best)))
+                    best[key] = Leading(len(key), k)
+                step = max(1, SCORES // max(1, len(rows)))
+                for a in range(0, len(key), step):
+                    some = np.arange(a, min(a + step, len(key)))
+                    best[key].add(some, asked[some] @ rows.T, ids)
         for key in list(best):
             yield given(key)
 

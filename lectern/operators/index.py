@@ -2,9 +2,9 @@
 
 An index is a table of versions (:mod:`lectern.sources.versions`) made of segments. A segment holds
 
-- ``postings``: one row per term and block of documents, with their ids, term frequencies and lengths, the largest frequency and the
-  least length; in folders by bucket of the term's hash, sorted by term. Documents are dealt to blocks by hash, so a term that all
-  documents hold is many rows, and the bucket it lies in is written by several tasks.
+- ``rows``: postings, one row per term and block of documents, with their ids, term frequencies and lengths, the largest frequency and
+  the least length; in folders by bucket of the term's hash, sorted by term. Documents are dealt to blocks by hash, so a term that all
+  documents hold is many rows, and the bucket it lies in is written by several tasks. Beside them a row per block lists its documents.
 - ``terms``: document frequency and the same two extremes of each term. Frequencies of segments add up.
 - ``docs``: ids and lengths. Numbers of documents and words are in the manifest.
 
@@ -19,25 +19,24 @@ a query's terms cannot reach its k-th score so far in this way, the block isn't
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import partial, reduce
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
 from ..functions.dictionary import holds_any
 from ..sources.versions import Versions
+from . import postings as P
 from . import search as S
+from .postings import Best  # noqa: F401
 
-#: Documents per block, about, and bytes of text per bucket.
-BLOCK, BUCKET = 256, 32 << 20
-#: Scores are rounded to six digits before they rank.
-SLACK = 2e-6
+#: Bytes of text per bucket.
+BUCKET = 32 << 20
+#: Folders of a segment: the rows of terms, and, written beside them, those that list a block's documents.
+POSTINGS, LISTED = "rows/kind=postings", "rows/kind=listed"
 
 
 @dataclass(frozen=True)
@@ -76,7 +75,7 @@ class Index:
         return sum(s["length"] for s in self.segments) / filled if filled else 0.0
 
     def _table(self, name: str, segment: dict) -> DataFrame:
-        return self.spark.read.schema(segment["schemas"][name]).parquet(f"{segment['path']}/{name}")
+        return self.spark.read.schema(segment["schemas"][name]).parquet(f"{segment['path']}/{POSTINGS if name == 'postings' else name}")
 
     def _live(self, rows: DataFrame, place: int) -> DataFrame:
         """rows (id, ...) of the segment at ``place`` without those that later segments have removed."""
@@ -125,18 +124,13 @@ class Index:
         freq = self.doc_freq().join(terms.select("term").distinct(), "term", "left_semi")
         known = self._written(terms.join(freq, "term").select("query_id", "term", S.idf(F.lit(self.n_docs), F.col("df")).alias("idf")))
         opened = self.blocks(known.select("term")).join(known.select("term").distinct(), "term", "left_semi")
-        rows = opened.groupBy("segment", "block").agg(F.collect_list(F.struct("term", "ids", "tfs", "lengths", "max_tf", "min_length")).alias("held"))
+        rows = P.packed(opened.select("segment", "block", *P.HELD), "held", "segment", "block")
         rows = self._masked(rows, "gone", self._removed(), "left")
         if scope is not None:
             every = scope.select(F.col(scope.columns[0]).alias("id"), F.explode(F.sequence(F.lit(0), F.lit(len(self.segments) - 1))).alias("segment"))
             rows = self._masked(rows, "scope", every, "inner")
-        n = known.select("query_id").distinct().count()
-        part = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // S.QUERY_BLOCK)))).alias("part")
-        asked = known.groupBy(part).agg(F.collect_list(F.struct("query_id", "term", "idf")).alias("asked"))
-        # Spark broadcasts the blocks of queries if they are small, else it takes the two sides' partitions pair by pair
-        pairs = rows.crossJoin(asked).select("part", "asked", "held", *[c for c in ("gone", "scope") if c in rows.columns])
-        types = {f.name: f.dataType.simpleString() for f in known.schema} | {"id": self.docs().schema["id"].dataType.simpleString()}
-        scores = pairs.mapInArrow(partial(_scored, k, self.avg_length), f"query_id {types['query_id']}, id {types['id']}, score double")
+        rows = rows.withColumn("of", F.concat_ws("/", "segment", "block"))
+        scores = P.scored(rows, known, k, self.avg_length, self.docs().schema["id"].dataType.simpleString())
         return S.top(scores.select("query_id", "id", F.round("score", 6).alias("score")), k)
 
     def _masked(self, rows: DataFrame, name: str, ids: DataFrame | None, how: str) -> DataFrame:
@@ -145,7 +139,7 @@ class Index:
             return rows
         block = F.lit(0)
         for i, s in enumerate(self.segments):
-            block = F.when(F.col("segment") == i, F.pmod(F.xxhash64("id"), F.lit(s["blocks"]))).otherwise(block)
+            block = F.when(F.col("segment") == i, P.block_of(F.col("id"), s["blocks"])).otherwise(block)
         listed = ids.select("segment", block.cast("int").alias("block"), "id").groupBy("segment", "block").agg(F.collect_set("id").alias(name))
         return rows.join(listed, ["segment", "block"], how)
 
@@ -156,90 +150,6 @@ class Index:
         return self.spark.read.schema(rows.schema).parquet(path)
 
 
-class Best:
-    """The ``k`` best documents of each query among the blocks seen so far."""
-
-    def __init__(self, k: int, avg_length: float):
-        self.k, self.average = k, avg_length if avg_length > 0 else 1.0
-        self.found: dict = {}
-        #: Pairs of a query and a block: how many there were, and in how many scores were computed.
-        self.met = self.opened = 0
-
-    def weights(self, tf: np.ndarray, length: np.ndarray, idf: np.ndarray) -> np.ndarray:
-        return idf * tf * (S.K1 + 1) / (tf + S.K1 * (1 - S.B + S.B * length / self.average))
-
-    def add(self, held: pa.StructArray, asked: dict, idfs: dict[str, float], gone: list | None = None, scope: list | None = None) -> None:
-        """Score a block: ``held`` has a row (term, ids, tfs, lengths, max_tf, min_length) per term, ``asked`` the terms of each query.
-
-        A query whose terms' largest weights in the block don't add up to its k-th score so far is passed over.
-        """
-        names = held.field("term").to_pylist()
-        place = {t: i for i, t in enumerate(names)}
-        idf = np.array([idfs.get(t, 0.0) for t in names])
-        most = self.weights(held.field("max_tf").to_numpy(), held.field("min_length").to_numpy(), idf)
-        wanted = {}
-        for query, terms in asked.items():
-            at = [place[t] for t in terms if t in place]
-            if at:
-                self.met += 1
-                kept = self.found.get(query)
-                if kept is None or len(kept[0]) < self.k or most[at].sum() >= kept[0][-1] - SLACK:
-                    wanted[query] = at
-        if not wanted:
-            return
-        self.opened += len(wanted)
-        lists = held.field("ids")
-        values, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
-        ids, doc = np.unique(np.array(values.to_pylist()) if pa.types.is_string(values.type) else values.to_numpy(), return_inverse=True)
-        w = np.zeros((len(names), len(ids)))
-        tf, length = (held.field(c).flatten().to_numpy() for c in ("tfs", "lengths"))
-        w[np.repeat(np.arange(len(names)), sizes), doc] = self.weights(tf, length, np.repeat(idf, sizes))
-        free = np.ones(len(ids), bool)
-        if gone:
-            free &= ~np.isin(ids, np.array(gone, ids.dtype))
-        if scope is not None:
-            free &= np.isin(ids, np.array(scope, ids.dtype if len(scope) == 0 else None))
-        for query, at in wanted.items():
-            scores = w[at].sum(0)
-            hit = np.flatnonzero((scores > 0) & free)
-            if len(hit):
-                a, b = self.found.get(query, (scores[:0], ids[:0]))
-                self.found[query] = V.first_of(np.concatenate((a, scores[hit])), np.concatenate((b, ids[hit])), self.k)
-
-    def rows(self) -> tuple[list, np.ndarray, np.ndarray]:
-        queries = [q for q, (s, _) in self.found.items() for _ in range(len(s))]
-        none = [np.zeros(0)]
-        return queries, np.concatenate([s for s, _ in self.found.values()] or none), np.concatenate([i for _, i in self.found.values()] or none)
-
-
-def _scored(k: int, avg_length: float, parts: Iterator[pa.RecordBatch], held: int = 16) -> Iterator[pa.RecordBatch]:
-    """Pairs of blocks (part, asked, held, gone, scope) as (query_id, id, score): the ``k`` best of each query. A task keeps the best of
-    up to ``held`` blocks of queries while documents go by."""
-    known: dict[int, tuple[dict, dict, Best]] = {}
-    types: list[pa.DataType] = [pa.int64(), pa.int64()]
-
-    def given(part: int) -> pa.RecordBatch:
-        queries, scores, ids = known.pop(part)[2].rows()
-        return pa.RecordBatch.from_arrays([pa.array(queries, types[0]), pa.array(ids.tolist(), types[1]), pa.array(scores, pa.float64())], ["query_id", "id", "score"])
-
-    for batch in parts:
-        types = [batch.schema.field("asked").type.value_type.field("query_id").type, batch.schema.field("held").type.value_type.field("ids").type.value_type]
-        for i, part in enumerate(batch.column("part").to_pylist()):
-            if part not in known:
-                if len(known) >= held:
-                    yield given(next(iter(known)))
-                asked, idfs = {}, {}
-                for r in batch.column("asked")[i].as_py():
-                    asked.setdefault(r["query_id"], []).append(r["term"])
-                    idfs[r["term"]] = r["idf"]
-                known[part] = asked, idfs, Best(k, avg_length)
-            asked, idfs, best = known[part]
-            masks = [batch.column(c)[i].as_py() if c in batch.schema.names else None for c in ("gone", "scope")]
-            best.add(batch.column("held")[i].values, asked, idfs, *masks)
-    for part in list(known):
-        yield given(part)
-
-
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -249,19 +159,17 @@ def _segment(known: Versions, docs: DataFrame, words: Sequence[str], removed: Da
     that it takes off, ``gone`` (term, df) how often their terms stood."""
     spark, path = known.spark, known.folder("segment")
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    buckets, blocks = max(8, size // BUCKET), max(1, -(-n // BLOCK))
-    tokens = docs.select("id", T.tokens(F.coalesce("text", F.lit("")), words).alias("tokens"))
-    tokens.select("id", F.size("tokens").alias("length")).write.parquet(f"{path}/docs")
-    held = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    held = held.select(bucket_of(F.col("term"), buckets).alias("bucket"), block.alias("block"), "term", "id", "length").withColumn("part", F.col("block") % 16)
-    # one shuffle: what follows groups within its parts
-    held = held.repartition("bucket", "part").groupBy("bucket", "part", "block", "term", "id", "length").agg(F.count("*").cast("int").alias("tf"))
-    row = F.array_sort(F.collect_list(F.struct("id", "tf", "length")))
-    rows = held.groupBy("bucket", "part", "block", "term").agg(row.alias("p"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
-    rows = rows.select("bucket", "term", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), "max_tf", "min_length")
-    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
-    stored = spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    buckets, blocks = max(8, size // BUCKET), max(1, -(-n // P.BLOCK))
+    rows = P.term_blocks(docs, T.tokens(F.coalesce("text", F.lit("")), words), blocks)
+    kind = F.when(F.col("term").isNull(), "listed").otherwise("postings").alias("kind")
+    rows = rows.select("term", "block", "ids", "tfs", "lengths", "max_tf", "min_length", F.when(F.col("term").isNull(), 0).otherwise(bucket_of(F.col("term"), buckets)).alias("bucket"), kind)
+    dealt = rows.withColumn("part", F.col("block") % 16).repartition("bucket", "part").drop("part")
+    dealt.sortWithinPartitions("kind", "bucket", "term", "block").write.partitionBy("kind", "bucket").parquet(f"{path}/rows")
+    rows = rows.drop("kind")
+    for folder in (POSTINGS, LISTED):  # where there are no rows of a kind
+        known.made(f"{path}/{folder}")
+    P.listed(spark.read.schema(rows.schema).parquet(f"{path}/{LISTED}")).write.parquet(f"{path}/docs")
+    stored = spark.read.schema(rows.schema).parquet(f"{path}/{POSTINGS}")
     terms = stored.groupBy("term").agg(F.sum(F.size("ids")).cast("long").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"))
     if gone is not None:
         none = F.lit(None).cast("int")
@@ -337,7 +245,7 @@ def compacted(index: Index) -> Index:
     """The next version with one segment in place of many: postings are merged, no text is read."""
     known = Versions(index.spark, index.root)
     path, n = known.folder("segment"), index.n_docs
-    buckets, blocks = max(s["buckets"] for s in index.segments), max(1, -(-n // BLOCK))
+    buckets, blocks = max(s["buckets"] for s in index.segments), max(1, -(-n // P.BLOCK))
     parts = []
     for i, s in enumerate(index.segments):
         rows = index._table("postings", s).select("term", F.explode(F.arrays_zip("ids", "tfs", "lengths")).alias("p")).select("term", F.col("p.ids").alias("id"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
@@ -347,9 +255,9 @@ def compacted(index: Index) -> Index:
     rows = rows.withColumn("part", F.col("block") % 16).repartition("bucket", "part").groupBy("bucket", "part", "block", "term")
     rows = rows.agg(F.array_sort(F.collect_list(F.struct("id", "tf", "length"))).alias("p"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"))
     rows = rows.select("bucket", "term", "block", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.length").alias("lengths"), "max_tf", "min_length")
-    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/{POSTINGS}")
     index.docs().write.parquet(f"{path}/docs")
-    stored = index.spark.read.schema(rows.schema).parquet(f"{path}/postings")
+    stored = index.spark.read.schema(rows.schema).parquet(f"{path}/{POSTINGS}")
     terms = stored.groupBy("term").agg(F.sum(F.size("ids")).cast("long").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"))
     terms.sort("term").write.parquet(f"{path}/terms")
     one = {k: sum(s[k] for s in index.segments) for k in ("docs", "filled", "length")}

@@ -6,6 +6,7 @@ a scope. Scores are rounded before they rank, and every order ends in an id, so
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from typing import TYPE_CHECKING
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..sources.versions import shared_dir
+from . import postings as P
+from .postings import K1, B
 
 if TYPE_CHECKING:
     from .index import Index
 
-K1, B = 1.2, 0.75
 RRF = 60
 #: Parts that the postings of a term are dealt to; queries in one matrix.
 PARTS, QUERY_BLOCK = 32, 1024
@@ -69,22 +72,25 @@ def weighted(posts: DataFrame, terms: DataFrame, stats: DataFrame, parts: int =
 
 def keyword_search(docs: DataFrame, queries: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text", scope: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` best documents that hold any term; of the ids in ``scope`` if given. For a table that is
-    searched once: others are better indexed (:mod:`lectern.operators.index`)."""
-    tokens = tokenised(docs, id_col, text_col)
-    terms = query_terms(queries)
-    # only the terms that are asked for are counted, and an empty one that stands once in every document, for the statistics
-    asked = terms.select("term").unionByName(docs.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    held = tokens.select("id", "length", F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
-    posts = held.join(asked, "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
-    # all three read tf, so that they share one scan and one shuffle
-    every = (F.col("term") == "") & (F.col("tf") > 0)
-    stats = posts.agg(F.count_if(every).alias("n_docs"), F.coalesce(F.avg(F.when(every & (F.col("length") > 0), F.col("length"))), F.lit(0.0)).alias("avg_length"))
-    counted = terms.join(posts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df")).where("term != ''"), "term")
-    weights = weighted(posts.where("term != ''"), counted, stats)
+    searched once: others are better indexed (:mod:`lectern.operators.index`). Texts are shuffled by block of documents, and each block
+    is one row, written to the shared folder, with the postings of the terms asked for; a match of a query and a document is no row."""
+    spark, terms = docs.sparkSession, query_terms(queries)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    blocks = max(1, -(-rows.count() // P.BLOCK))
+    held = P.gathered_blocks(rows, T.tokens(F.col("text")), blocks, P.sketch(terms.select("term").distinct()))
+    kept, known = (f"{shared_dir(spark)}/search-{uuid.uuid4().hex}/{x}" for x in ("blocks", "known"))
+    held.write.option("parquet.block.size", 8 << 20).parquet(kept)  # a row is a whole block, and a reader takes a group of rows at once
+    met = spark.read.schema(held.schema).parquet(kept)
+    n_docs, average = met.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.try_divide(F.sum("length"), F.sum("filled")), F.lit(0.0))).first()
+    counted = met.select(F.explode(F.arrays_zip("terms", "counts")).alias("c"))
+    freq = counted.groupBy(F.col("c.terms").alias("term")).agg(F.sum("c.counts").alias("df"))
+    weighed = terms.join(freq, "term").select("query_id", "term", idf(F.lit(n_docs), F.col("df")).alias("idf"))
+    weighed.write.parquet(known)
     if scope is not None:
-        weights = weights.join(scope.select(F.col(scope.columns[0]).alias("id")), "id", "left_semi")
-    scores = weights.groupBy("query_id", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top(scores, k)
+        ids = scope.select(F.col(scope.columns[0]).alias("id"))
+        met = met.select("block", "held").join(ids.groupBy(P.block_of(F.col("id"), blocks).alias("block")).agg(F.collect_set("id").alias("scope")), "block")
+    scores = P.scored(met.withColumn("of", F.col("block")), spark.read.schema(weighed.schema).parquet(known), k, average, rows.schema["id"].dataType.simpleString())
+    return top(scores.select("query_id", "id", F.round("score", 6).alias("score")), k)
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -78,6 +78,10 @@ class Versions:
         """A new folder for data of the table, not there yet."""
         return f"{self.root}/{kind}-{uuid.uuid4().hex}"
 
+    def made(self, folder: str) -> None:
+        """Make ``folder`` where it isn't there."""
+        self._fs.mkdirs(self._path(folder))
+
     def vacuum(self, keep: int = 1) -> int:
         """Delete the folders that none of the last ``keep`` versions names, and older manifests; how many folders went. For when no
         reader or writer is at work on others."""

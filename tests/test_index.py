@@ -164,6 +164,34 @@ def test_search_reads_no_text_and_only_its_buckets(spark, tmp_path):
     assert all("/index/" in f for f in search.inputFiles())
 
 
+def test_search_over_texts_shuffles_no_match(spark):
+    """A term that all documents and queries hold makes neither a row per match nor one per posting in any shuffle."""
+    docs = frame(spark, [f"the w{i % 50}" for i in range(2000)])
+    asked = spark.createDataFrame([(q, f"the w{q}") for q in range(40)], "query_id int, query string")
+
+    def stages():
+        lists, doubles = spark._jvm.java.util.ArrayList, spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        listed = spark.sparkContext._jsc.sc().statusStore().stageList(lists(), False, False, doubles, lists())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (listed.apply(i) for i in range(listed.size()))}
+
+    before = stages()
+    rows = S.keyword_search(docs, asked, 3).collect()
+    assert len(rows) == 120 and all(r.id % 50 == r.query_id for r in rows)
+    written = [n for stage, n in stages().items() if stage not in before]
+    assert written and max(written) <= 2000  # the texts
+
+
+def test_repeated_ids_in_search_over_texts(spark):
+    """Rows that share an id count as one document, whose postings add up where its lengths differ, as in the SQL."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "a c d"), (2, "a x y z"), (3, "q")], "doc_id long, text string")
+    asked = spark.createDataFrame([(9, "a")], "query_id int, query string")
+    n, average, df = 5, (2 + 2 + 3 + 4 + 1) / 5, 3
+    weight = lambda tf, length: math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average))
+    got = {r.id: r.score for r in S.keyword_search(docs, asked, 5).collect()}
+    assert got == {1: round(weight(2, 2) + weight(1, 3), 6), 2: round(weight(1, 4), 6)}
+
+
 def test_blocks_that_cannot_win_are_not_opened():
     """A query's blocks are passed over once its k-th score is out of their reach; the result is the same."""
     rng = np.random.default_rng(0)
