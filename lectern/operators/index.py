@@ -123,7 +123,8 @@ class Index:
         terms = S.query_terms(queries, self.words)
         freq = self.doc_freq().join(terms.select("term").distinct(), "term", "left_semi")
         known = self._written(terms.join(freq, "term").select("query_id", "term", S.idf(F.lit(self.n_docs), F.col("df")).alias("idf")))
-        opened = self.blocks(known.select("term")).join(known.select("term").distinct(), "term", "left_semi")
+        asked = known.select("term").distinct()
+        opened = P.sketched(self.blocks(asked), P.sketch(asked))  # a few other terms pass: no query has them
         rows = P.packed(opened.select("segment", "block", *P.HELD), "held", "segment", "block")
         rows = self._masked(rows, "gone", self._removed(), "left")
         if scope is not None:
@@ -160,11 +161,10 @@ def _segment(known: Versions, docs: DataFrame, words: Sequence[str], removed: Da
     spark, path = known.spark, known.folder("segment")
     n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets, blocks = max(8, size // BUCKET), max(1, -(-n // P.BLOCK))
-    rows = P.term_blocks(docs, T.tokens(F.coalesce("text", F.lit("")), words), blocks)
+    rows = P.term_blocks(docs, T.tokens(F.coalesce("text", F.lit("")), words), blocks, buckets)
     kind = F.when(F.col("term").isNull(), "listed").otherwise("postings").alias("kind")
     rows = rows.select("term", "block", "ids", "tfs", "lengths", "max_tf", "min_length", F.when(F.col("term").isNull(), 0).otherwise(bucket_of(F.col("term"), buckets)).alias("bucket"), kind)
-    dealt = rows.withColumn("part", F.col("block") % 16).repartition("bucket", "part").drop("part")
-    dealt.sortWithinPartitions("kind", "bucket", "term", "block").write.partitionBy("kind", "bucket").parquet(f"{path}/rows")
+    rows.sortWithinPartitions("kind", "bucket", "term", "block").write.partitionBy("kind", "bucket").parquet(f"{path}/rows")
     rows = rows.drop("kind")
     for folder in (POSTINGS, LISTED):  # where there are no rows of a kind
         known.made(f"{path}/{folder}")

@@ -142,18 +142,17 @@ def keep_order_rerank(hits: DataFrame) -> DataFrame:
 def lexical_guard(core: DataFrame, keyword: DataFrame, k: int, n: int) -> DataFrame:
     """At most min(n, max(1, k // 3)) leading keyword hits that the core lacks take the places of its tail:
     (query_id, id, rank, via)."""
-    kept = core.select("query_id", "id", "rank", F.lit(None).cast("string").alias("via"))
     if n <= 0 or k <= 0:
-        return kept
+        return core.select("query_id", "id", "rank", F.lit(None).cast("string").alias("via"))
     most = min(n, max(1, k // 3))
-    missing = keyword.join(core, ["query_id", "id"], "left_anti")
-    order = Window.partitionBy("query_id").orderBy("rank")
-    added = missing.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
-    counts = added.groupBy("query_id").agg(F.count("*").alias("n_added"))
-    kept = kept.join(counts, "query_id", "left").where(F.col("rank") <= k - F.coalesce("n_added", F.lit(0))).drop("n_added")
-    sizes = kept.groupBy("query_id").agg(F.count("*").alias("n_kept"))
-    added = added.join(sizes, "query_id", "left")
-    return kept.unionByName(added.select("query_id", "id", (F.coalesce("n_kept", F.lit(0)) + F.col("place")).cast("int").alias("rank"), F.lit("lexguard").alias("via")))
+    # windows over both at once, so that each side's search is made once
+    both = core.select("query_id", "id", "rank").join(keyword.select("query_id", "id", F.col("rank").alias("rank_k")), ["query_id", "id"], "full_outer")
+    of_query, missing = Window.partitionBy("query_id"), F.col("rank").isNull()
+    nth = F.sum(missing.cast("int")).over(of_query.orderBy(F.col("rank_k").asc_nulls_last(), "id").rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("nth", nth).withColumn("added", missing & (F.col("nth") <= most))
+    both = both.withColumn("n_added", F.sum(F.col("added").cast("int")).over(of_query)).withColumn("kept", ~missing & (F.col("rank") <= k - F.col("n_added")))
+    both = both.withColumn("n_kept", F.sum(F.col("kept").cast("int")).over(of_query)).where("kept OR added")
+    return both.select("query_id", "id", F.when(F.col("kept"), F.col("rank")).otherwise(F.col("n_kept") + F.col("nth")).cast("int").alias("rank"), F.when(F.col("added"), "lexguard").alias("via"))
 
 
 def expand_neighbours(core: DataFrame, chain: DataFrame, hops: int) -> DataFrame:

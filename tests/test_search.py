@@ -27,3 +27,9 @@ def test_guard_and_neighbours(spark):
     assert ids(S.expand_neighbours(hits("c2"), chain, 2)) == ["c2", "c1", "c3", "c4"]
     assert ids(S.expand_neighbours(hits("c2"), chain, 0)) == ["c2"]
     assert ids(S.expand_neighbours(hits("c2", "c3"), chain, 1)) == ["c2", "c3", "c1", "c4"]
+
+
+def test_guard_makes_each_search_once(spark):
+    core, keyword = (spark.range(a, a + 6).selectExpr("id % 2 AS query_id", "id", "CAST(id AS INT) AS rank") for a in (1, 4))
+    plan = S.lexical_guard(core, keyword, 6, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2
